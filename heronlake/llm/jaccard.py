@@ -398,7 +398,7 @@ def link_sets(sets: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Linked groups of documents: ``key``, ``keep``, n_shingles, component_id.
+    """Linked groups of documents: ``key``, ``keep``, n_shingles, component_id and text_key (xxhash64 of the text).
 
     Two documents link when 100 * intersection >= ``percent`` * union of their
     sets of ``size``-word n-grams (A to Z in lower case; a shorter text is one
@@ -427,4 +427,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
     final = whole.join(least, "component").select("print", "component_id")
     joined = info.join(final, "print", "left")
-    return joined.select(F.col("_key").alias(key), *[F.col(f"_k_{c}").alias(c) for c in keep], F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("_key")).otherwise(F.col("component_id")).alias("component_id"))
+    return joined.select(F.col("_key").alias(key), *[F.col(f"_k_{c}").alias(c) for c in keep], F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("_key")).otherwise(F.col("component_id")).alias("component_id"), F.col("_text_key").alias("text_key"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each linked group the row with the smallest key stays.
+
+    Rows without n-grams all stay, except that rows equal in key and text
+    count as one.  Null keys come first.
+    """
+    found = near_duplicates(docs, size, percent, text, key)
+    alone = F.when(F.col("n_shingles") == 0, F.struct(F.col(key).alias("a"), F.col("text_key").alias("b")))
+    stay = found.groupBy("component_id", alone.alias("alone")).agg(F.min(F.struct(F.col(key).alias("a"), F.col("text_key").alias("b"))).alias("first"))
+    stay = stay.select(F.col("first.a").alias("_stay_key"), F.col("first.b").alias("_stay_text"))
+    own = docs.withColumn("_stay_hash", F.xxhash64(text))
+    kept = own.join(stay, F.col(key).eqNullSafe(F.col("_stay_key")) & (F.col("_stay_hash") == F.col("_stay_text")), "left_semi")
+    return kept.dropDuplicates([key, "_stay_hash"]).select(*docs.columns)

@@ -138,3 +138,18 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
     if change is not None:
         out = out.join(change, "_row", "left").withColumn("copies", F.col("copies") + F.coalesce("_add", F.lit(0)))
     return out.select(*[F.col(f"_k_{c}").alias(c) for c in keep], *([] if "source" in keep else ["source"]), "size", "source_size", "target", "rate", F.col("copies").cast("long").alias("copies"))
+
+
+def repeat_mixed(docs: DataFrame, size: Column, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` repeated by their copies; rows with 0 copies go.
+
+    The mix runs on narrow rows; texts are joined back by their hash, each
+    distinct text once.
+    """
+    columns = docs.columns
+    own = docs.withColumn("__text_key", F.xxhash64(text))
+    narrow = tuple(c for c in columns if c != text)
+    mixed = mix(own, size, source, key, (*narrow, "__text_key"), **options).where("copies > 0").select(*narrow, "__text_key", "copies")
+    texts = own.select("__text_key", text).groupBy("__text_key").agg(F.first(text).alias(text))
+    back = mixed.join(texts, "__text_key")
+    return back.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*columns)

@@ -220,6 +220,32 @@ def _chi2_below(x: float, d: int) -> float:
     return 1 - float(np.exp(-x / 2)) * total
 
 
+def _mark(column: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit("~"))
+
+
+def fit(stats: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Groups and estimates from a written table of ``_lang``, ``_source``, base_failed and the vector.
+
+    Result: (_l, _s, g), the group of every language and source, and (g,
+    center, precision), the estimates of groups that are large enough.
+    """
+    sizes = stats.where(~F.col("base_failed")).groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_fine", F.when(F.col("_n") >= least, F.concat(_mark("_lang"), F.lit("\n"), _mark("_source"))))
+    pooled = sizes.where("_fine is null").groupBy("_lang").agg(F.sum("_n").alias("_m"))
+    levels = sizes.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), "_fine").join(pooled.select(F.col("_lang").alias("_l2"), "_m"), F.col("_l").eqNullSafe(F.col("_l2")), "left")
+    levels = levels.select("_l", "_s", F.coalesce("_fine", F.when(F.col("_m") >= least, F.concat(F.lit("L"), _mark("_l"))), F.lit("*")).alias("g"))
+    levels = written(levels, "quality-groups")
+    grouped = _grouped(stats.where(~F.col("base_failed")), levels)
+    found = estimates(grouped.select("g", *[f"v{i}" for i in range(DIMS)]).distinct())
+    enough = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return levels, written(found.join(enough, "g", "left_semi"), "quality-model")
+
+
+def _grouped(stats: DataFrame, levels: DataFrame) -> DataFrame:
+    return stats.join(levels, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s")
+
+
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: tuple[str, ...] = ("doc_id",), least: int = 100, p: float = 1 - 1e-7) -> DataFrame:
     """Base statistics and the verdict ``kept`` for every row.
 
@@ -231,24 +257,22 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     rules is kept.  Estimates use each distinct vector of a group once, so
     copies, however many, count as one; every row is judged.  Null and empty
     texts fail the base rules.  ``keep`` may not hold names used here.
+    Where ``keep`` holds the text, the statistics are computed a second time
+    with it rather than written to disk beside it.
     """
-    own = docs.select(*[F.col(c).alias(f"_k_{c}") for c in keep], F.col(lang).alias("_lang"), F.col(source).alias("_source"), F.col(text).alias("_text"))
     names = tuple(f"_k_{c}" for c in keep)
-    stats = statistics(own, "_text", (*names, "_lang", "_source")).withColumn("base_failed", base_failed())
-    stats = written(stats.select("*", *vector()), "quality-stats")
-    mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("~"))
-    sizes = stats.where(~F.col("base_failed")).groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_n"))
-    fine = F.when(F.col("_n") >= least, F.concat(mark("_lang"), F.lit("\n"), mark("_source")))
-    sizes = sizes.withColumn("_fine", fine)
-    pooled = sizes.where("_fine is null").groupBy("_lang").agg(F.sum("_n").alias("_m"))
-    levels = sizes.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), "_fine").join(pooled.select(F.col("_lang").alias("_l2"), "_m"), F.col("_l").eqNullSafe(F.col("_l2")), "left")
-    levels = levels.select("_l", "_s", F.coalesce("_fine", F.when(F.col("_m") >= least, F.concat(F.lit("L"), F.coalesce(F.concat(F.lit("="), F.col("_l")), F.lit("~")))), F.lit("*")).alias("g"))
-    levels = written(levels, "quality-groups")
-    grouped = stats.join(levels, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s")
-    coordinates = [f"v{i}" for i in range(DIMS)]
-    points = grouped.where(~F.col("base_failed")).select("g", *coordinates).distinct()
-    found = estimates(points)
-    enough = levels.where("g != '*'").select("g").distinct().unionByName(grouped.where("g = '*' and not base_failed").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("g"))
-    judged = grouped.join(found.join(enough, "g", "left_semi"), "g", "left").withColumn("distance", _quadratic())
+    own = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(lang).alias("_lang"), F.col(source).alias("_source"), F.col(text).alias("_text"))
+    wide = text in keep
+    stats = statistics(own, "_text", (*names, "_lang", "_source")).withColumn("base_failed", base_failed()).select("*", *vector())
+    narrow = statistics(own, "_text", ("_lang", "_source")).withColumn("base_failed", base_failed()).select("*", *vector()) if wide else stats
+    narrow = written(narrow, "quality-stats")
+    levels, found = fit(narrow, least)
+    judged = _grouped(stats if wide else narrow, levels).join(found, "g", "left").withColumn("distance", _quadratic())
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= chi2(p, DIMS)))
     return judged.select(*[F.col(f"_k_{c}").alias(c) for c in keep], *STATS, "base_failed", "distance", kept.alias("kept"))
+
+
+def keep_good(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns."""
+    judged = judge(docs.select([F.col(c).alias(f"in_{i}") for i, c in enumerate(docs.columns)]), **{k: f"in_{docs.columns.index(options.pop(k, k))}" for k in ("text", "lang", "source")}, keep=tuple(f"in_{i}" for i in range(len(docs.columns))), **options)
+    return judged.where("kept").select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -29,7 +29,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,3 +121,16 @@ def mask(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 def digest(spans: Column) -> Column:
     """``kind:start:end`` of spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def mask_owned(docs: DataFrame, repo: Column, owner: Column, text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
+    """The rows of ``docs`` with every span of their texts masked, base spans and owned ones.
+
+    Which spans a text has depends on the text and the corpus alone, so they
+    are joined back by a hash of the text, once for each distinct text.
+    """
+    own = docs.withColumn("__text_key", F.xxhash64(text))
+    found = scan_owned(own, repo, owner, text, ("__text_key",), **options).where(F.size("spans") > 0)
+    once = found.groupBy("__text_key").agg(F.min("spans").alias("__spans"))
+    masked = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(mask(F.col(text), F.col("__spans"), mark))
+    return own.join(once, "__text_key", "left").withColumn(text, masked).select(*docs.columns)
