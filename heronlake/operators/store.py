@@ -155,7 +155,8 @@ class EventStore:
         folder = f"deleted-{uuid.uuid4().hex}"
         ids.write.parquet(f"{self.path}/{folder}")
         ids = self.spark.read.parquet(f"{self.path}/{folder}")
-        self._write("events", events.join(ids, "id", "left_anti"))
+        if ids.take(1):
+            self._write("events", events.join(ids, "id", "left_anti"))
         return ids
 
     def load_replaceables(self, specs: DataFrame) -> DataFrame:

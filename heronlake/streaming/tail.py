@@ -32,7 +32,8 @@ def live(events: DataFrame, store: EventStore, checkpoint: str, on_new: Callable
             stored = store.save(batch).where("stored")
             if on_new is not None:
                 on_new(batch.join(stored.select("id"), "id", "left_semi"))
-            if delete and batch.where("kind = 5").take(1):
+            # Also without a new deletion: a stored one may meet an event that arrives late.
+            if delete:
                 store.apply_deletions()
         finally:
             batch.unpersist()
