@@ -59,8 +59,8 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stride_of(m: int) -> int:
-    """How far apart windows for templates of m shingles start: every place up to four, then an eighth of the length."""
-    return 1 if m < 8 else m // 8
+    """How far apart windows for templates of m shingles start: a power of two, at most an eighth of the length."""
+    return 1 << max(0, (m // 8).bit_length() - 1)
 
 
 def bands_of(m: int, percent: int = PERCENT) -> int:
@@ -119,11 +119,8 @@ class Bands:
             return out
         before: dict[int, np.ndarray] = {}
         for row in range(self.rows):
-            hashed = self.permuted(grams, row)
-            now = {}
-            for m in self.lengths:
-                if row < len(self.keys[m][1]) * ROWS:
-                    now[m] = window_minima(hashed, m, stride_of(m))
+            minima = Minima(self.permuted(grams, row))
+            now = {m: minima.windows(m, stride_of(m)) for m in self.lengths if row < len(self.keys[m][1]) * ROWS}
             if row % ROWS == ROWS - 1:
                 band = row // ROWS
                 for m, least in now.items():
@@ -145,13 +142,41 @@ class Bands:
         return (low + int(hit[0]), low + int(hit[-1]) + 1, share) if share * 100 >= self.percent else None
 
 
-def window_minima(hashed: np.ndarray, m: int, stride: int) -> np.ndarray:
-    """The least hash of each window of m shingles, windows starting at multiples of ``stride``; the last ones may be shorter."""
-    blocks = np.minimum.reduceat(hashed, np.arange(0, len(hashed), stride)) if stride > 1 else hashed
-    out = blocks.copy()
-    for k in range(1, -(-m // stride)):
-        out[:-k] = np.minimum(out[:-k], blocks[k:]) if k < len(blocks) else out[:-k]
-    return out
+class Minima:
+    """The least hashes of windows, built by doubling and shared between lengths."""
+
+    def __init__(self, hashed: np.ndarray):
+        self.known = {(1, 1): hashed}
+
+    def blocks(self, stride: int) -> np.ndarray:
+        """The least hash of each block of ``stride`` shingles."""
+        if (stride, 1) not in self.known:
+            half = self.blocks(stride // 2)
+            if len(half) % 2:
+                half = np.append(half, half[-1])
+            self.known[stride, 1] = np.minimum(half[::2], half[1::2])
+        return self.known[stride, 1]
+
+    def runs(self, stride: int, width: int) -> np.ndarray:
+        """The least hash of ``width`` blocks from each on, width a power of two; runs over the end are shorter."""
+        if width == 1:
+            return self.blocks(stride)
+        if (stride, width) not in self.known:
+            self.known[stride, width] = ahead(self.runs(stride, width // 2), width // 2)
+        return self.known[stride, width]
+
+    def windows(self, m: int, stride: int) -> np.ndarray:
+        """The least hash of each window of m shingles, windows starting at multiples of ``stride``."""
+        blocks = -(-m // stride)
+        width = 1 << blocks.bit_length() - 1
+        return ahead(self.runs(stride, width), blocks - width) if blocks > width else self.runs(stride, width)
+
+
+def ahead(a: np.ndarray, by: int) -> np.ndarray:
+    """The lesser of each element and the one ``by`` places on, where there is one."""
+    if by >= len(a):
+        return a
+    return np.concatenate([np.minimum(a[:-by], a[by:]), a[-by:]])
 
 
 def scan_column(bands: Bands, column: pa.Array) -> list[list[dict]]:
@@ -198,7 +223,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     schema = docs.select(*keep).schema.add("spans", T.ArrayType(SPAN))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_bytes(batches, len(keep), 2 << 20):
+        for part in by_bytes(batches, len(keep), 1 << 19):
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(scan_column(bands, part.column(len(keep))), _SPAN_ARROW)], names=schema.names)
 
     return source.mapInArrow(run, schema)
