@@ -106,15 +106,15 @@ def base_failed() -> Column:
 
 
 def vector() -> list[Column]:
-    """The transformed statistics, as whole numbers of units: log word length, and roots of shares that shrink a little for short texts."""
+    """The transformed statistics, as whole numbers of units: log word length, roots of the shares of kinds of characters, and shares of repeats, all shrunk a little for short texts."""
     share = lambda a, b, few: F.sqrt(F.col(a) / (F.col(b) + F.lit(float(few))))
     parts = [
         F.log((F.col("word_chars") + 50.0) / (F.col("n_words") + 10.0)),
         share("n_symbols", "word_chars", 100),
         share("n_upper", "word_chars", 100),
         share("n_punct", "word_chars", 100),
-        share("n_dup_lines", "n_lines", 10),
-        share("n_repeat_words", "n_words", 20),
+        F.col("n_dup_lines") / (F.col("n_lines") + 10.0),
+        F.col("n_repeat_words") / (F.col("n_words") + 20.0),
     ]
     return [F.round(x * UNIT).cast("long").alias(f"v{i}") for i, x in enumerate(parts)]
 
@@ -246,7 +246,7 @@ def _grouped(stats: DataFrame, levels: DataFrame) -> DataFrame:
     return stats.join(levels, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s")
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: tuple[str, ...] = ("doc_id",), least: int = 100, p: float = 1 - 1e-7) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: tuple[str, ...] = ("doc_id",), least: int = 100, p: float = 1 - 1e-5) -> DataFrame:
     """Base statistics and the verdict ``kept`` for every row.
 
     Result: ``keep``, STATS, base_failed, distance (squared Mahalanobis, null
