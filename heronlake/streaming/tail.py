@@ -34,7 +34,7 @@ def live(events: DataFrame, store: EventStore, checkpoint: str, on_new: Callable
                 on_new(batch.join(stored.select("id"), "id", "left_semi"))
             # Also without a new deletion: a stored one may meet an event that arrives late.
             if delete:
-                store.apply_deletions()
+                store.apply_deletions(batch=batch)
         finally:
             batch.unpersist()
 

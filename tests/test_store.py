@@ -114,3 +114,26 @@ def test_lookups_bounds_and_catalog(spark, store):
     store.set_bounds(spark.createDataFrame([(AUTHORS[0], 1, 4, 10)], "pubkey string, kind int, oldest long, newest long"))
     assert store.bounds_map().first()["kinds"] == {1: [4, 10], 2: [1, 2]}
     assert {r["name"] for r in store.catalog().collect()} == {"events", "bounds", "attempts"}
+
+
+def test_changes_touch_only_their_buckets_and_vacuum_keeps_the_rest(spark, store):
+    store.save(frame(spark, [event(i, i % 5, 1, i) for i in range(1, 21)]))
+    before = store._version()["events"]
+    store.save(frame(spark, [event(30, 0, 1, 30)]))
+    after = store._version()["events"]
+    changed = {b for b in after if after[b] != before.get(b)}
+    assert len(changed) == 1 and set(before) == set(after) and len(before) > 1
+    assert sorted(ids(store.query({"authors": [AUTHORS[0]]}))) == [5, 10, 15, 20, 30]
+    assert store.vacuum() > 0 and store.vacuum() == 0
+    assert sorted(ids(EventStore(spark, store.path, buckets=7).events())) == [*range(1, 21), 30]
+    assert store.save(frame(spark, [])).count() == 0
+    assert ids(store.delete([])) == []
+
+
+def test_deletions_of_a_batch_look_at_its_authors_only(spark, store):
+    store.save(frame(spark, [event(1, 0, 1, 5), event(2, 1, 1, 5), event(3, 1, 5, 9, [("e", f"{2:064x}")])]))
+    batch = frame(spark, [event(4, 0, 5, 9, [("e", f"{1:064x}"), ("e", f"{2:064x}")])])
+    store.save(batch)
+    assert ids(store.apply_deletions(batch=batch)) == [1]
+    assert ids(store.apply_deletions()) == [2]
+    assert sorted(ids(store.events())) == [3, 4]
