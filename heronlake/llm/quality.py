@@ -30,8 +30,8 @@ BINS = 1024
 
 
 def _table(chars: bytes) -> np.ndarray:
-    out = np.zeros(256, dtype=np.int64)
-    out[list(chars)] = 1
+    out = np.zeros(256, dtype=bool)
+    out[list(chars)] = True
     return out
 
 
@@ -57,14 +57,20 @@ def _repeats(keys: np.ndarray) -> np.ndarray:
 def text_stats(column: pa.Array, window: int = 5) -> dict[str, np.ndarray]:
     """The numbers in STATS for each text of a column; all 0 for null and empty texts."""
     data, offsets = buffer(column)
-    count = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
+    # An Arrow column of strings has less than 2**31 bytes.
+    sums = np.zeros(len(data) + 1, dtype=np.int32)
+
+    def count(flags: np.ndarray) -> np.ndarray:
+        np.cumsum(flags, dtype=np.int32, out=sums[1:])
+        return np.diff(sums[offsets]).astype(np.int64)
+
     starts, lengths, first = word_spans(data, offsets)
     out = {"n_words": np.diff(first), "word_chars": count(_POINT[data]), "n_symbols": count(_SYMBOL[data]), "n_upper": count(_UPPER[data]), "n_punct": count(_PUNCT[data])}
 
     line_starts, line_lengths, line_first = word_spans(data, offsets, _NEWLINE)
     row = np.repeat(np.arange(len(column)), np.diff(line_first))
-    solid = np.concatenate([[0], np.cumsum(~SPACE[data])])
-    filled = solid[line_starts + line_lengths] > solid[line_starts]
+    np.cumsum(~SPACE[data], dtype=np.int32, out=sums[1:])
+    filled = sums[line_starts + line_lengths] > sums[line_starts]
     with np.errstate(over="ignore"):
         keys = mix(word_hashes(data, line_starts[filled], line_lengths[filled], lower=False) + mix(row[filled].astype(np.uint64)))
     lines = np.bincount(row[filled], minlength=len(column))
@@ -93,7 +99,7 @@ def statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
         schema = schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_bytes(batches, len(keep), 4 << 20):
+        for part in by_bytes(batches, len(keep), 1 << 20):
             found = text_stats(part.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *[pa.array(found[n], pa.int64()) for n in STATS]], names=schema.names)
 

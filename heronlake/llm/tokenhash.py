@@ -17,6 +17,8 @@ _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
 _STEP = 0x9E3779B97F4A7C15 | 1
 _powers = np.ones(1, dtype=np.uint64)
+#: Bytes that are hashed at once.
+BLOCK = 1 << 19
 
 #: Bytes that end a word: ASCII white space.
 SPACE = np.zeros(256, dtype=bool)
@@ -84,9 +86,20 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray = SPACE)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word; with ``lower``, A to Z count as a to z."""
+    """A 64-bit hash of each word; with ``lower``, A to Z count as a to z.
+
+    Words are hashed in blocks of about BLOCK bytes, so that memory doesn't
+    grow by a multiple of the texts; a longer word stands alone.
+    """
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
+    upto = np.cumsum(lengths)
+    cuts = np.searchsorted(upto, np.arange(BLOCK, int(upto[-1]), BLOCK))
+    edges = np.unique(np.concatenate([[0], cuts, [len(starts)]])).tolist()
+    return np.concatenate([_block_hashes(data, starts[a:b], lengths[a:b], lower) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+
+
+def _block_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lower: bool) -> np.ndarray:
     total = int(lengths.sum())
     first = np.cumsum(lengths) - lengths
     place = np.arange(total) - np.repeat(first, lengths)
