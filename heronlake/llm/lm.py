@@ -162,20 +162,59 @@ def _serve(table: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def traverse(counts: list[np.ndarray], begin: np.ndarray, ends: int, types: int, tokens: int, mu: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of p_1 and of p_order for each token, left to right in every text.
-
-    ``counts[k]`` holds the training count of the (k+1)-gram ending at each
-    token; the state before a token is the longest history that has one.
+class Automaton:
+    """The part of the backoff automaton that the texts of a chunk pass through.
+
+    ``ids[k]`` numbers the (k+1)-gram that ends at each token, ``counts[k]``
+    holds the training count of each number.  A history of k tokens with a
+    count is a state; the state before a text (``ends`` texts were trained on)
+    stands last among the histories of each length, and the empty history is
+    state 0.  ``arcs[k]`` are the log10 weights of the arcs that leave histories
+    of k tokens, ``failures[k - 1]`` those of the failure arcs to the next shorter one.
     """
-    base = (counts[0] + 1.0) / (tokens + types + 1.0)
-    p = base.copy()
-    for k in range(1, len(counts)):
-        history = np.empty(len(p))
-        history[1:] = counts[k - 1][:-1]
-        history[begin[:-1]] = ends
-        p = (counts[k] + mu[k - 1] * p) / (history + mu[k - 1])
-    return np.log10(base), np.log10(p)
+
+    def __init__(self, ids: list[np.ndarray], counts: list[np.ndarray], begin: np.ndarray, ends: int, types: int, tokens: int, mu: tuple[float, ...]):
+        self.ids, self.counts = ids, counts
+        p = (counts[0] + 1.0) / (tokens + types + 1.0)
+        self.arcs, self.failures, self.states, self.before = [np.log10(p)], [], [], []
+        for k in range(1, len(ids)):
+            before = np.full(len(ids[0]), -1, dtype=np.int64)
+            before[1:] = ids[k - 1][:-1]
+            before[begin[:-1]] = -1
+            held = np.append(counts[k - 1], float(ends))
+            # Any place of an n-gram tells its history and its shorter n-gram.
+            place = np.empty(len(counts[k]), dtype=np.int64)
+            place[ids[k]] = np.arange(len(ids[k]))
+            p = (counts[k] + mu[k - 1] * p[ids[k - 1][place]]) / (held[before[place]] + mu[k - 1])
+            self.arcs.append(np.log10(p))
+            self.failures.append(np.log10(mu[k - 1] / (held + mu[k - 1])))
+            self.states.append(held > 0)
+            self.before.append(before)
+
+    def traverse(self) -> np.ndarray:
+        """log10 probability of each token, read left to right in every text.
+
+        The state carried to a token is the longest history that is one: a
+        suffix of what was read, and so known for all tokens at once.  From
+        there each token follows failure arcs, adding their weights, until its
+        state has an arc for it; the empty history has one for every token.
+        """
+        state = np.zeros(len(self.ids[0]), dtype=np.int8)
+        for k, (before, known) in enumerate(zip(self.before, self.states, strict=True), 1):
+            state[known[before]] = k
+        out = np.zeros(len(state))
+        for k in range(len(self.before), 0, -1):
+            at = np.flatnonzero(state == k)
+            grams = self.ids[k][at]
+            arc = self.counts[k][grams] > 0
+            out[at[arc]] += self.arcs[k][grams[arc]]
+            state[at[arc]] = -1
+            lost = at[~arc]
+            out[lost] += self.failures[k - 1][self.before[k - 1][lost]]
+            state[lost] = k - 1
+        at = np.flatnonzero(state == 0)
+        out[at] += self.arcs[0][self.ids[0][at]]
+        return out
 
 
 def score(docs: DataFrame, held_out: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",), order: int = 2, mu: tuple[float, ...] = (100.0, 20.0)) -> DataFrame:
@@ -209,17 +248,17 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", keep: tuple[str
         kinds = answers.column("order").to_numpy()
         types = int(answers.column("types").to_numpy().sum())
         tokens = int(answers.column("tokens").to_numpy().sum())
-        counts = []
+        numbers, counts = [], []
         ends = 0
         for k, keys in enumerate(ngrams(flat, begin, order), 1):
             sums = np.concatenate([unpack(answers.column("a")[int(i)].as_py(), np.uint64) for i in np.flatnonzero(kinds == k)])
-            inverse = ids if k == 1 else np.unique(keys, return_inverse=True)[1]
-            counts.append(sums[inverse].astype(np.float64))
+            numbers.append(ids if k == 1 else np.unique(keys, return_inverse=True)[1])
+            counts.append(sums.astype(np.float64))
             if k == 1:
                 ends = int(sums[np.searchsorted(words, END)])
-        base, best = traverse(counts, begin, ends, types, tokens, mu)
+        automaton = Automaton(numbers, counts, begin, ends, types, tokens, mu)
         add = lambda x: np.add.reduceat(x, begin[:-1])
-        found = [pa.array(each, pa.int64()), pa.array(add((counts[0] > 0).astype(np.int64)), pa.int64()), pa.array(np.full(len(each), tokens), pa.int64()), pa.array(add(base)), pa.array(add(best))]
+        found = [pa.array(each, pa.int64()), pa.array(add((counts[0][ids] > 0).astype(np.int64)), pa.int64()), pa.array(np.full(len(each), tokens), pa.int64()), pa.array(add(automaton.arcs[0][ids])), pa.array(add(automaton.traverse()))]
         return pa.Table.from_arrays([*[header.column(i) for i in range(kept)], *found], names=schema.names)
 
     packed = source.mapInArrow(ask, _PACKED_SPARK)

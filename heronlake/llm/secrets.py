@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,10 +40,12 @@ def candidates(text: str) -> list[tuple[str, int, int, str]]:
             found.append(("assign", m.start(), m.end(), m[2]))
     found += [("access", m.start(), m.end(), m[0]) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
-    base = [(a, b) for _, a, b, _ in found]
+    base = sorted((a, b) for _, a, b, _ in found)
+    starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
     for m in OPEN.finditer(text):
         s = m[0]
-        if re.search("[A-Z]", s) and re.search("[a-z]", s) and re.search("[0-9]", s) and not any(a < m.end() and m.start() < b for a, b in base):
+        before = bisect_left(starts, m.end())
+        if re.search("[A-Z]", s) and re.search("[a-z]", s) and re.search("[0-9]", s) and not (before and reach[before - 1] > m.start()):
             found.append(("open", m.start(), m.end(), s))
     return [(k, a, b, hashlib.sha256(s.encode()).hexdigest()[:32]) for k, a, b, s in sorted(found, key=lambda x: (x[1], (*KINDS[:3], "open").index(x[0])))]
 
