@@ -92,8 +92,8 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
 
     Rounding: with sizes falling, copies follow the running sum of rates, so
     that a source misses its target by about a document.  ``trims`` more
-    rounds each take or add one copy of the largest document that fits into
-    the miss.
+    rounds each take or add one copy of the document that brings the source
+    nearest to its target, if one brings it nearer at all.
     """
     own = docs.select(*[F.col(c).alias(f"_k_{c}") for c in keep], F.col(source).cast("string").alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), F.xxhash64(key).alias("_h"))
     own = written(own.withColumn("_row", F.monotonically_increasing_id()), "mix-sizes")
@@ -124,14 +124,14 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
     copies = F.when(F.col("size") == 0, F.lit(1)).when(F.col("rate") >= cap, F.lit(cap)).otherwise(F.least(F.lit(cap), F.greatest(F.lit(0), upto(rank) - upto(rank - 1))))
     out = written(placed.withColumn("copies", copies.cast("long")), "mix-copies")
 
-    # Trims: the largest document that fits into what a source still misses; one row for each source.
+    # Trims: the document whose size is nearest to what a source still misses; one row for each source, and each round misses by less.
     change = None
     for _ in range(trims):
         now = out if change is None else out.join(change, "_row", "left").withColumn("copies", F.col("copies") + F.coalesce("_add", F.lit(0))).drop("_add")
         missing = now.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("_miss"))
         missing = missing.withColumnRenamed("source", "_s")
-        fits = (F.col("size") > 0) & (F.col("size") <= F.abs("_miss")) & F.when(F.col("_miss") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
-        best = now.join(missing, F.col("source").eqNullSafe(F.col("_s"))).where(fits).groupBy("source").agg(F.max(F.struct("size", "_h", "_row", F.signum("_miss").cast("long").alias("_add"))).alias("b"))
+        fits = (F.col("size") > 0) & (F.col("size") < 2 * F.abs("_miss")) & F.when(F.col("_miss") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
+        best = now.join(missing, F.col("source").eqNullSafe(F.col("_s"))).where(fits).groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.abs("_miss")).alias("_off"), "size", "_h", "_row", F.signum("_miss").cast("long").alias("_add"))).alias("b"))
         found = best.select("b._row", "b._add")
         found = found if change is None else change.unionByName(found).groupBy("_row").agg(F.sum("_add").alias("_add"))
         change = written(found, "mix-trims")
