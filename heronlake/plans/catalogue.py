@@ -13,7 +13,7 @@ from heronlake.functions import scalars as S
 from heronlake.operators import filters, graph, latest, lists, profiles, ranking, routing, store, sync
 from heronlake.operators.filters import Filter
 from heronlake.operators.schema import is_addressable, is_replaceable
-from heronlake.plans.tables import FOLLOWS_SQL, NOTES_SQL, NOW, RELAYS_SQL, TAGS_SQL, follows, list_events, notes, relay_items, set_events, table, tag, tag_rows
+from heronlake.plans.tables import FOLLOWS_SQL, NOTES_SQL, NOW, RELAYS_SQL, TAGS_SQL, WHOLE_FOLLOWS_SQL, follows, list_events, notes, relay_items, set_events, table, tag, tag_rows, whole_follows
 from heronlake.streaming import tail
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,14 @@ def _many_authors(spark: SparkSession, d: str) -> DataFrame:
 _add("many_authors", _many_authors, f"WITH {NOTES_SQL} SELECT pubkey, count(*) AS n FROM notes WHERE kind = 1 AND CAST(pubkey AS BIGINT) % 3 = 0 AND CAST(pubkey AS BIGINT) < 6000 GROUP BY pubkey")
 
 
+def _all_authors(spark: SparkSession, d: str) -> DataFrame:
+    n = notes(spark, d)
+    return filters.matching(n, Filter(kinds=[1])).join(n.where("kind = 30023").select("pubkey"), "pubkey", "left_semi").groupBy("pubkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+_add("many_authors_whole", _all_authors, f"WITH {NOTES_SQL} SELECT pubkey, count(*) AS n FROM notes WHERE kind = 1 AND pubkey IN (SELECT pubkey FROM notes WHERE kind = 30023) GROUP BY pubkey")
+
+
 def _any_filter(spark: SparkSession, d: str) -> DataFrame:
     return filters.query_any(notes(spark, d), [Filter(kinds=[1], limit=50), Filter(authors=["5"], limit=50), Filter(tags={"k": ["4"]}, limit=50)]).select("id")
 
@@ -130,6 +138,34 @@ _add("load_bundles", _bundles, f"""WITH {NOTES_SQL}, newest AS (SELECT pubkey, k
 top AS (SELECT * FROM newest QUALIFY row_number() OVER (PARTITION BY pubkey ORDER BY created_at DESC, id) <= 3)
 SELECT range AS pos, string_agg(id, ',' ORDER BY created_at DESC, id) AS ids FROM range(40) LEFT JOIN top ON top.pubkey = CAST(range AS VARCHAR) GROUP BY range""")
 
+
+
+def _load_all(spark: SparkSession, d: str) -> DataFrame:
+    """A lookup of every (author, k) that any event names."""
+    n = notes(spark, d)
+    specs = n.where("k is not null").groupBy("pubkey", F.col("k").alias("d")).agg(F.min(F.col("id").cast("long")).alias("pos")).select("pos", F.lit(30023).alias("kind"), "pubkey", "d")
+    attempts = n.where("kind = 7").groupBy(F.lit(30023).alias("kind"), "pubkey", F.col("k").alias("d")).agg(F.max("created_at").alias("last_attempt"))
+    return store.load_replaceables(specs, n, attempts).select("pos", "last_attempt", F.get("events", F.lit(0))["id"].alias("id"))
+
+
+_add("load_replaceables_whole", _load_all, f"""WITH {NOTES_SQL}, specs AS (SELECT min(CAST(id AS BIGINT)) AS pos, pubkey, k FROM notes WHERE k IS NOT NULL GROUP BY pubkey, k),
+newest AS (SELECT pubkey, k, id FROM notes WHERE kind = 30023 QUALIFY row_number() OVER (PARTITION BY pubkey, k ORDER BY created_at DESC, id) = 1),
+tried AS (SELECT pubkey, k, max(created_at) AS last_attempt FROM notes WHERE kind = 7 GROUP BY ALL)
+SELECT s.pos, t.last_attempt, n.id FROM specs s LEFT JOIN newest n USING (pubkey, k) LEFT JOIN tried t USING (pubkey, k)""")
+
+
+def _all_bundles(spark: SparkSession, d: str) -> DataFrame:
+    """The newest three of every author."""
+    n = notes(spark, d)
+    specs = n.select("pubkey").distinct().select(F.col("pubkey").cast("long").alias("pos"), F.lit(30023).alias("kind"), "pubkey", F.lit(None).cast("string").alias("d"))
+    found = store.load_replaceables(specs, n, spark.createDataFrame([], store.ATTEMPTS), most=3)
+    return found.select("pos", F.array_join(F.transform("events", lambda e: e["id"]), ",").alias("ids"))
+
+
+_add("load_bundles_whole", _all_bundles, f"""WITH {NOTES_SQL}, newest AS (SELECT pubkey, k, id, created_at FROM notes WHERE kind = 30023 QUALIFY row_number() OVER (PARTITION BY pubkey, k ORDER BY created_at DESC, id) = 1),
+top AS (SELECT * FROM newest QUALIFY row_number() OVER (PARTITION BY pubkey ORDER BY created_at DESC, id) <= 3)
+SELECT CAST(a.pubkey AS BIGINT) AS pos, string_agg(id, ',' ORDER BY created_at DESC, id) AS ids FROM (SELECT DISTINCT pubkey FROM notes) a LEFT JOIN top USING (pubkey) GROUP BY a.pubkey""")
+
 # Deletions
 
 _DELETED = f"""WITH {NOTES_SQL} SELECT e.id FROM notes e WHERE e.kind = 30023 AND EXISTS (SELECT 1 FROM notes x WHERE x.kind = 5 AND x.pubkey = e.pubkey AND x.k = e.k"""
@@ -150,6 +186,11 @@ _add("delete_by_filter", _after_delete, f"WITH {NOTES_SQL} SELECT kind, count(*)
 _WOT = f"WITH {FOLLOWS_SQL} SELECT DISTINCT b.dst FROM follows a JOIN follows b ON b.src = a.dst WHERE a.src = 1"
 _add("wot_two_hop", lambda s, d: graph.web_of_trust(follows(s, d), 1, follows(s, d).where("src = 7").select("dst")), _WOT + " AND b.dst NOT IN (SELECT dst FROM follows WHERE src = 7)")
 _add("wot_with_direct", lambda s, d: graph.web_of_trust(follows(s, d), 1, None, include_direct=True), _WOT + " UNION SELECT dst FROM follows WHERE src = 1")
+
+_WHOLE_WOT = f"WITH {WHOLE_FOLLOWS_SQL} SELECT DISTINCT b.dst FROM whole_follows a JOIN whole_follows b ON b.src = a.dst WHERE a.src = 1"
+_add("wot_two_hop_whole", lambda s, d: graph.web_of_trust(whole_follows(s, d), 1, whole_follows(s, d).where("src = 7").select("dst")), _WHOLE_WOT + " AND b.dst NOT IN (SELECT dst FROM whole_follows WHERE src = 7)")
+_add("wot_with_direct_whole", lambda s, d: graph.web_of_trust(whole_follows(s, d), 1, None, include_direct=True), _WHOLE_WOT + " UNION SELECT dst FROM whole_follows WHERE src = 1")
+
 _add("globalism", lambda s, d: ranking.popularity(relay_items(s, d)).select("url", F.round("score", 6).alias("score")), f"WITH {RELAYS_SQL} SELECT url, round(sum(share), 6) AS score FROM (SELECT url, 20.0 / count(*) OVER (PARTITION BY pubkey) AS share FROM relays) GROUP BY url")
 _add("relay_popularity", lambda s, d: routing.batch_sizes(relay_items(s, d)), f"WITH {RELAYS_SQL} SELECT url, count(DISTINCT pubkey) AS n_authors FROM relays GROUP BY url")
 

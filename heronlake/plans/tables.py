@@ -50,6 +50,18 @@ def follows(spark: SparkSession, sf_dir: str) -> DataFrame:
 FOLLOWS_SQL = "follows AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 100 AS dst FROM lineitem WHERE l_quantity >= 45 AND l_discount >= 0.09)"
 
 
+def whole_follows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges (src, dst) of all rows: a supplier follows, for each part it sells, the supplier of the part's first order line."""
+    lines = table(spark, sf_dir, "lineitem")
+    first = lines.groupBy("l_partkey").agg(F.min(F.struct("l_orderkey", "l_linenumber", "l_suppkey")).alias("line"))
+    pairs = lines.select(F.col("l_suppkey").alias("src"), "l_partkey").distinct()
+    return pairs.join(first, "l_partkey").select("src", F.col("line.l_suppkey").alias("dst")).distinct()
+
+
+WHOLE_FOLLOWS_SQL = """first_lines AS (SELECT l_partkey, l_suppkey AS dst FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) = 1),
+whole_follows AS (SELECT DISTINCT l_suppkey AS src, dst FROM lineitem JOIN first_lines USING (l_partkey))"""
+
+
 def relay_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's event types as relays, in the order of their first use: (pubkey, url, pos)."""
     from pyspark.sql import Window as W
