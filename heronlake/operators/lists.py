@@ -145,6 +145,11 @@ def items(tags: Column, parse: TagItem) -> Column:
     return F.filter(F.transform(tags, lambda t: parse(t)), lambda x: x.isNotNull())
 
 
+def item_rows(tags: DataFrame, parse: TagItem) -> DataFrame:
+    """Rows with a column ``tag`` as rows with a column ``item``, without those that a parser doesn't take; no list is collected."""
+    return tags.withColumn("item", parse(F.col("tag"))).where("item is not null").drop("tag")
+
+
 def load_list(events: DataFrame, spec: ListSpec, kind: int | None = None) -> DataFrame:
     """(pubkey, event_id, created_at, items) of every author's newest list."""
     own = newest(events.where(F.col("kind") == (spec.kind if kind is None else kind)), ["pubkey"])
@@ -159,16 +164,24 @@ def load_set(events: DataFrame, spec: ListSpec, kind: int | None = None) -> Data
     return own.select("pubkey", "kind", "d", F.col("id").alias("event_id"), "created_at", items(F.col("tags"), spec.parse).alias("items"), tag_or(F.col("tags"), "title", F.col("d")).alias("title"), *optional)
 
 
+def resolve_rows(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The columns of ``rows`` (one of them ``item``) with the ``set_items`` and ``title`` of the set that a pointer names, a row for each item.
+
+    A pointer without a set has no items.
+    """
+    named = sets.select(F.col("kind").alias("_k"), F.col("pubkey").alias("_p"), F.col("d").alias("_d"), F.col("items").alias("_items"), "title")
+    joined = rows.join(named, (F.col("item.kind") == F.col("_k")) & (F.col("item.pubkey") == F.col("_p")) & (F.col("item.identifier") == F.col("_d")), "left")
+    inner = F.when(F.col("item.item_type") == "pointer", F.coalesce("_items", F.array().cast(T.ArrayType(ITEM))))
+    return joined.select(*rows.columns, inner.alias("set_items"), "title")
+
+
 def resolve_pointers(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Replace pointers in lists by the sets they name: (pubkey, items), an item with its set's items and title, in place.
 
     A pointer without a set has no items.
     """
-    flat = lists.select("pubkey", F.posexplode_outer("items").alias("pos", "item"))
-    named = sets.select(F.col("kind").alias("_k"), F.col("pubkey").alias("_p"), F.col("d").alias("_d"), F.col("items").alias("set_items"), "title")
-    joined = flat.join(named, (F.col("item.kind") == F.col("_k")) & (F.col("item.pubkey") == F.col("_p")) & (F.col("item.identifier") == F.col("_d")), "left")
-    inner = F.when(F.col("item.item_type") == "pointer", F.coalesce("set_items", F.array().cast(T.ArrayType(ITEM))))
-    entry = F.struct("pos", F.col("item"), inner.alias("set_items"), F.col("title"))
+    joined = resolve_rows(lists.select("pubkey", F.posexplode_outer("items").alias("pos", "item")), sets)
+    entry = F.struct("pos", "item", "set_items", "title")
     # The items of one list: bounded by an event's tags.
     return joined.groupBy("pubkey").agg(F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), entry)), _by_pos).alias("items"))
 

@@ -277,9 +277,7 @@ _add("bounds_raise", lambda s, d: sync.raise_bounds(_bounds(s, d).where("kind =
 def _backoff(spark: SparkSession, d: str) -> DataFrame:
     n = notes(spark, d)
     what = F.when(F.col("kind") == 5, "failure").when(F.col("kind") == 0, "success").otherwise("ask")
-    rows = n.groupBy("pubkey").agg(F.array_sort(F.collect_list(F.struct(F.col("created_at").alias("ts"), F.col("id").cast("long").alias("i"), what.alias("what")))).alias("l"))
-    state = tail.backoff_fold(F.transform("l", lambda x: F.struct(x["ts"].alias("ts"), x["what"].alias("what"))))
-    return rows.select("pubkey", state.alias("s")).select("pubkey", "s.failures", "s.last_attempt", "s.allowed")
+    return tail.backoff_latest(n.select("pubkey", F.col("created_at").alias("ts"), F.col("id").cast("long").alias("i"), what.alias("what")), "pubkey", ("ts", "i"))
 
 
 _add("backoff_fold", _backoff, f"""WITH RECURSIVE {NOTES_SQL}, steps AS (SELECT pubkey, created_at AS ts, CASE kind WHEN 5 THEN 'failure' WHEN 0 THEN 'success' ELSE 'ask' END AS what,
@@ -331,8 +329,25 @@ def _list_query(name: str, spec: lists.ListSpec) -> None:
     _add(f"list_parse_{name}", run, f"WITH {TAGS_SQL} SELECT {keys}, count({case}) AS n_items, coalesce(string_agg({case}, ',' ORDER BY pos), '') AS items FROM rows_ GROUP BY {keys}")
 
 
+def _items_query(name: str, spec: lists.ListSpec) -> None:
+    """The items as rows: no user's tags meet in one row or task."""
+    case = "CASE m " + " ".join(f"WHEN {m} THEN {x}" for m, x in _ITEM_SQL[name].items()) + " END"
+    keys = ["pubkey", "event_type"] if spec.is_set else ["pubkey"]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return lists.item_rows(tag_rows(spark, d), spec.parse).select(*keys, "pos", _text(F.col("item")).alias("item"))
+
+    _add(f"list_items_{name}", run, f"WITH {TAGS_SQL} SELECT {', '.join(keys)}, pos, {case} AS item FROM rows_ WHERE {case} IS NOT NULL")
+
+
 for _name, _spec in lists.SPECS.items():
     _list_query(_name, _spec)
+    _items_query(_name, _spec)
+
+
+def _follow_sets(n: DataFrame) -> DataFrame:
+    sets = n.where("kind = 30023").select("id", F.sha2(F.col("pubkey").cast("binary"), 256).alias("pubkey"), F.lit(30000).alias("kind"), "created_at", F.array(tag("d", F.col("k")), tag("p", F.sha2(F.col("id").cast("binary"), 256))).alias("tags"))
+    return lists.load_set(sets, lists.SPECS["follow_sets"])
 
 
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
@@ -340,8 +355,7 @@ def _resolved(spark: SparkSession, d: str) -> DataFrame:
     pointer = F.array(tag("a", F.concat_ws(":", F.lit("30000"), F.sha2(F.col("pubkey").cast("binary"), 256), "k")))
     named = n.where("kind = 1").groupBy("pubkey").agg(F.array_sort(F.collect_list(F.struct(F.col("id").cast("long").alias("i"), pointer[0].alias("t")))).alias("l"))
     given = named.select("pubkey", lists.items(F.transform("l", lambda x: x["t"]), lists.SPECS["favorite_follow_sets"].parse).alias("items"))
-    sets = n.where("kind = 30023").select("id", F.sha2(F.col("pubkey").cast("binary"), 256).alias("pubkey"), F.lit(30000).alias("kind"), "created_at", F.array(tag("d", F.col("k")), tag("p", F.sha2(F.col("id").cast("binary"), 256))).alias("tags"))
-    full = lists.resolve_pointers(given, lists.load_set(sets, lists.SPECS["follow_sets"]))
+    full = lists.resolve_pointers(given, _follow_sets(n))
     first = F.transform("items", lambda i: F.coalesce(F.get(i["set_items"], F.lit(0))["value"], F.lit("-")))
     return full.select("pubkey", F.array_join(first, ",").alias("found"))
 
@@ -350,6 +364,17 @@ _add("pointer_resolve", _resolved, f"""WITH {NOTES_SQL}, sets AS (SELECT pubkey,
 SELECT n.pubkey, string_agg(coalesce(s.v, '-'), ',' ORDER BY CAST(n.id AS BIGINT)) AS found FROM notes n LEFT JOIN sets s ON s.pubkey = n.pubkey AND s.k = n.k WHERE n.kind = 1 GROUP BY n.pubkey""")
 
 
+def _resolved_rows(spark: SparkSession, d: str) -> DataFrame:
+    n = notes(spark, d)
+    named = n.where("kind = 1").select("pubkey", F.col("id").cast("long").alias("pos"), tag("a", F.concat_ws(":", F.lit("30000"), F.sha2(F.col("pubkey").cast("binary"), 256), "k")).alias("tag"))
+    full = lists.resolve_rows(lists.item_rows(named, lists.SPECS["favorite_follow_sets"].parse), _follow_sets(n))
+    return full.select("pubkey", "pos", F.coalesce(F.get("set_items", F.lit(0))["value"], F.lit("-")).alias("found"))
+
+
+_add("pointer_rows", _resolved_rows, f"""WITH {NOTES_SQL}, sets AS (SELECT pubkey, k, sha256(id) AS v FROM notes WHERE kind = 30023 QUALIFY row_number() OVER (PARTITION BY pubkey, k ORDER BY created_at DESC, id) = 1)
+SELECT n.pubkey, CAST(n.id AS BIGINT) AS pos, coalesce(s.v, '-') AS found FROM notes n LEFT JOIN sets s ON s.pubkey = n.pubkey AND s.k = n.k WHERE n.kind = 1""")
+
+
 def _profile(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     name = F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_name"))

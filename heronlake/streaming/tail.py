@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -77,6 +79,34 @@ def backoff_fold(rows: Column) -> Column:
     return F.aggregate(rows, start, step)
 
 
+def backoff_latest(attempts: DataFrame, key: str, order: Sequence[str] = ("ts",)) -> DataFrame:
+    """``key``, failures, last_attempt and allowed after all rows of each key; ``attempts`` has ``ts``, ``what`` and the columns of ``order``.
+
+    The rows of a key stream by, sorted by ``order`` (a sort that can spill),
+    and only the state's two numbers are kept: no key is held in memory.
+    """
+    rows = attempts.repartition(key).sortWithinPartitions(key, *order).select(key, "ts", "what")
+    schema = attempts.select(key).schema.add("failures", "long").add("last_attempt", "long").add("allowed", "boolean")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, any_row = None, (None, 0, 0), False
+        for batch in batches:
+            out = []
+            for k, ts, what in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if any_row and k != now:
+                    out.append((now, state[1], state[2], state[0]))
+                if not any_row or k != now:
+                    now, state, any_row = k, (None, 0, 0), True
+                state = backoff_step(state[1], state[2], what, ts)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+        if any_row:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((now, state[1], state[2], state[0]), arrow, strict=True)], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
 class Backoff(StatefulProcessor):
     """A value state for each URL: failures and the last attempt."""
 

@@ -54,3 +54,31 @@ def test_whole_lookups_reach_every_author(spark, duck):
     assert q["load_replaceables_whole"](spark, DATA).count() == pairs
     sellers = duck.execute("SELECT count(DISTINCT l_suppkey) FROM lineitem").fetchone()[0]
     assert whole_follows(spark, DATA).select("src").distinct().count() == sellers
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_backoff_holds_no_key(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from heronlake.streaming import tail
+
+    assert "collect_list" not in _plan(catalogue.queries()["backoff_fold"](spark, DATA))
+    # One key with two thirds of the rows, over many Arrow batches.
+    what = ["failure", "ask", "ask", "success", "failure", "failure", "ask"]
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("u"), F.col("id") % 50)).alias("pubkey"), (F.col("id") * 97).alias("ts"), F.element_at(F.array(*map(F.lit, what)), (F.col("id") % 7 + 1).cast("int")).alias("what"))
+    got = {r["pubkey"]: (r["failures"], r["last_attempt"], r["allowed"]) for r in tail.backoff_latest(rows, "pubkey").collect()}
+    state = {}
+    for i in range(60_000):
+        key = "hot" if i % 3 < 2 else f"u{i % 50}"
+        allowed, failures, last = tail.backoff_step(*state.get(key, (0, 0, None))[:2], what[i % 7], i * 97)
+        state[key] = failures, last, allowed
+    assert got == state
+
+
+def test_item_rows_collect_nothing(spark):
+    for name in ("list_items_mutes", "list_items_relay_sets", "pointer_rows"):
+        plan = _plan(catalogue.queries()[name](spark, DATA))
+        assert "collect_list" not in plan and "collect_set" not in plan
