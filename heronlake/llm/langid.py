@@ -121,6 +121,23 @@ def forward_backward(scores: np.ndarray, first: np.ndarray, transitions: np.ndar
     return alpha / alpha.sum(axis=1, keepdims=True)
 
 
+def sample(rows: DataFrame, sample_docs: int) -> tuple[list[str], list[list[str]]]:
+    """The labels of (text, label), and of each the first words of its ``sample_docs`` distinct texts of smallest hash, or of all where it has fewer."""
+    rows = rows.where("text is not null and label is not null").withColumn("h", F.xxhash64("text"))
+    # Distinct texts, not rows: copies must not narrow a label's share.
+    counted = {r["label"]: r["count"] for r in rows.select("label", "h").distinct().groupBy("label").count().collect()}
+    names = sorted(counted)
+    if not names:
+        return [], []
+    # A share of the hash space for each label, twice what is needed: of 600 expected texts, fewer than 300 are as good as impossible.
+    shares = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, 2.0 * sample_docs / counted[k]))])
+    share = F.pmod("h", F.lit(1_000_000_007)) / 1_000_000_007.0
+    pieces = F.concat_ws(" ", F.slice(F.split("text", r"[\x20\x09-\x0D]+"), 1, SAMPLE_WORDS))
+    near = rows.where(share < F.element_at(shares, F.col("label"))).select("label", "h", pieces.alias("text")).dropDuplicates(["label", "h"])
+    found = near.orderBy("h", "label").limit(4 * sample_docs * len(names)).toPandas()
+    return names, [list(found["text"][found["label"] == name].head(sample_docs)) for name in names]
+
+
 def train(docs: DataFrame, labels: Column, text: str = "text", sample_docs: int = SAMPLE_DOCS, rounds: int = 60, seed: int = 7) -> dict:
     """Fit the weights on a bounded sample of labelled rows.
 
@@ -131,23 +148,14 @@ def train(docs: DataFrame, labels: Column, text: str = "text", sample_docs: int
     switches.  Gradient steps follow the exact likelihood by forward-backward.
     Without a labelled row the model has no label and predicts ``und``.
     """
-    rows = docs.select(F.col(text).alias("text"), labels.cast("string").alias("label")).where("text is not null and label is not null")
-    counted = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if not counted:
+    names, picked = sample(docs.select(F.col(text).alias("text"), labels.cast("string").alias("label")), sample_docs)
+    if not names:
         return {"labels": [], "weights": np.zeros((BUCKETS, 0), np.float32), "transitions": np.zeros((0, 0))}
-    names = sorted(counted)
-    # A share of the hash space for each label, with some to spare; equal texts count once.
-    shares = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, 2.0 * sample_docs / counted[k]))])
-    share = F.pmod(F.xxhash64("text"), F.lit(1_000_000_007)) / 1_000_000_007.0
-    pieces = F.concat_ws(" ", F.slice(F.split("text", r"[\x20\x09-\x0D]+"), 1, SAMPLE_WORDS))
-    near = rows.withColumn("h", F.xxhash64("text")).where(share < F.element_at(shares, F.col("label"))).select("label", "h", pieces.alias("text")).dropDuplicates(["label", "h"])
-    found = near.orderBy("h", "label").limit(4 * sample_docs * len(names)).toPandas()
-    picked = [found[found["label"] == name].head(sample_docs) for name in names]
     rng = np.random.default_rng(seed)
     # Stretches, shuffled: (label, text).
     stretches = []
     for k, part in enumerate(picked):
-        for words in (t.split() for t in part["text"]):
+        for words in (t.split() for t in part):
             while words:
                 cut = int(rng.integers(5, 41))
                 stretches.append((k, " ".join(words[:cut])))

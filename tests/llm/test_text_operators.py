@@ -294,6 +294,16 @@ def test_language(spark):
     assert langid.predict(frame(spark, ["a"]), empty).first()["lang_pred"] == "und"
 
 
+def test_language_sample_counts_copies_once(spark):
+    # 4,040 rows of yy hold 41 distinct texts; shares by rows drew hardly any of them.
+    texts = [f"ka lo {i}" for i in range(30)] + [f"zu tre {i}" for i in range(40)] + ["vo vo"] * 4000
+    rows = frame(spark, texts, lang=["xx"] * 30 + ["yy"] * 4040).select("text", F.col("lang").alias("label"))
+    for most, expected in ((20, [20, 20]), (35, [30, 35]), (300, [30, 41])):
+        names, picked = langid.sample(rows, most)
+        assert names == ["xx", "yy"] and [len(set(p)) for p in picked] == [len(p) for p in picked] == expected
+        assert all(set(p) <= set(texts) for p in picked)
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(13)
     scores, transitions = rng.normal(size=(9, 3)), rng.normal(size=(3, 3))
