@@ -1,8 +1,9 @@
 """Language identification of code-switched text by a linear-chain conditional random field.
 
-Every word is a position; its features are affixes, character n-grams and a
-lexicon of frequent words, hashed into a bounded table of weights.  Transitions
-between languages are learned.  Forward-backward gives each word its
+Every word is a position; its features are the word, affixes and character
+n-grams, hashed into a bounded table of weights, and its frequencies in a
+lexicon of each language's frequent words.  Weights and transitions between
+languages are learned by the same gradient steps.  Forward-backward gives each word its
 probabilities; a document's are their mean.
 """
 
@@ -23,6 +24,8 @@ from heronlake.llm.tokenhash import SPACE, buffer, mix, word_hashes, word_spans
 BUCKETS = 1 << 15
 #: Bounds of the training sample: documents of each language, and bytes of each text.
 SAMPLE_DOCS, SAMPLE_WORDS = 300, 120
+#: A word is frequent in a language when it is one of so many words; so a lexicon has as many words at most.
+FREQUENT = 5000
 UNKNOWN = "und"
 WORDS = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -68,13 +71,47 @@ def features(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple
     return np.concatenate(words), np.concatenate(found)
 
 
+def lexicon(rows: DataFrame) -> dict[str, dict[str, float]]:
+    """Of each label of (text, label) its frequent words and their shares, A to Z folded, counted over all rows."""
+    folded = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = rows.where("text is not null and label is not null").select("label", F.explode(F.split(folded, r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
+    counts = words.groupBy("label", "word").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("label").agg(F.sum("n").alias("total"))
+    out: dict[str, dict[str, float]] = {}
+    for r in counts.join(F.broadcast(totals), "label").where(F.col("n") * FREQUENT >= F.col("total")).collect():
+        out.setdefault(r["label"], {})[r["word"]] = r["n"] / r["total"]
+    return out
+
+
+def _lexicon_table(names: list[str], shares: dict[str, dict[str, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of all frequent words, and a row of each with log shares by label; 0 is a word that is not frequent there."""
+    words = sorted({w for own in shares.values() for w in own})
+    data, offsets = buffer(pa.array(words, pa.string()))
+    hashes = word_hashes(data, offsets[:-1], np.diff(offsets))
+    table = np.array([[np.log1p(shares.get(k, {}).get(w, 0.0) * FREQUENT) for k in names] for w in words], dtype=np.float32).reshape(len(words), len(names))
+    order = np.argsort(hashes)
+    # A last row of zeros for all other words.
+    return hashes[order], np.concatenate([table[order], np.zeros((1, len(names)), np.float32)])
+
+
+def lexicon_rows(model: dict, hashes: np.ndarray) -> np.ndarray:
+    """The row of the lexicon of each word."""
+    known = model["lexicon"][0]
+    if not len(known):
+        return np.zeros(len(hashes), dtype=np.int64)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, at, len(known))
+
+
 def emissions(model: dict, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A row of scores by label for each word."""
     weights = model["weights"]
     out = np.zeros((len(starts), weights.shape[1]), dtype=np.float32)
     pair, triple = _grams(data)
     with np.errstate(over="ignore"):
-        out += weights[(word_hashes(data, starts, lengths) >> np.uint64(49)).astype(np.int64)]
+        hashes = word_hashes(data, starts, lengths)
+        out += weights[(hashes >> np.uint64(49)).astype(np.int64)]
+        out += (model["lexicon"][1] @ model["lexicon_weights"])[lexicon_rows(model, hashes)]
         for size, codes, kinds in ((2, pair, (1, 2)), (3, triple, (3, 4))):
             fit = np.flatnonzero(lengths >= size)
             out[fit] += weights[_bucket(codes[starts[fit]], kinds[0])]
@@ -90,9 +127,11 @@ def emissions(model: dict, data: np.ndarray, starts: np.ndarray, lengths: np.nda
     return out / np.sqrt(5.0 + np.maximum(lengths - 2, 0))[:, None].astype(np.float32)
 
 
-def forward_backward(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+def forward_backward(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
     """Label probabilities of each word; ``first`` holds each sequence's first word, with the end.
 
+    The expected counts of label pairs of neighbours are added to ``pairs``.
+
     All sequences take a step together, the longest first, so that the loop is
     as long as the longest text and not as all texts.
     """
@@ -114,7 +153,11 @@ def forward_backward(scores: np.ndarray, first: np.ndarray, transitions: np.ndar
     for step in range(len(live) - 1, 0, -1):
         n = live[step]
         at = begin[:n] + step
-        back = (beta[:n] * e[at]) @ t.T
+        ahead = beta[:n] * e[at]
+        if pairs is not None:
+            joint = alpha[at - 1][:, :, None] * t * ahead[:, None, :]
+            pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        back = ahead @ t.T
         back /= back.sum(axis=1, keepdims=True)
         beta[:n] = back
         alpha[at - 1] *= back
@@ -148,9 +191,10 @@ def train(docs: DataFrame, labels: Column, text: str = "text", sample_docs: int
     switches.  Gradient steps follow the exact likelihood by forward-backward.
     Without a labelled row the model has no label and predicts ``und``.
     """
-    names, picked = sample(docs.select(F.col(text).alias("text"), labels.cast("string").alias("label")), sample_docs)
+    rows = docs.select(F.col(text).alias("text"), labels.cast("string").alias("label"))
+    names, picked = sample(rows, sample_docs)
     if not names:
-        return {"labels": [], "weights": np.zeros((BUCKETS, 0), np.float32), "transitions": np.zeros((0, 0))}
+        return {"labels": [], "weights": np.zeros((BUCKETS, 0), np.float32), "transitions": np.zeros((0, 0)), "lexicon": _lexicon_table([], {}), "lexicon_weights": np.zeros((0, 0), np.float32)}
     rng = np.random.default_rng(seed)
     # Stretches, shuffled: (label, text).
     stretches = []
@@ -166,7 +210,7 @@ def train(docs: DataFrame, labels: Column, text: str = "text", sample_docs: int
     data, offsets = buffer(texts)
     starts, lengths, first = word_spans(data, offsets)
     gold = np.concatenate([np.full(len(s.split()), k) for chain in chains for k, s in chain]) if chains else np.zeros(0, np.int64)
-    model = {"labels": names, "weights": np.zeros((BUCKETS, len(names)), np.float32), "transitions": np.zeros((len(names), len(names)))}
+    model = {"labels": names, "weights": np.zeros((BUCKETS, len(names)), np.float32), "transitions": np.zeros((len(names), len(names))), "lexicon": _lexicon_table(names, lexicon(rows)), "lexicon_weights": np.zeros((len(names), len(names)), np.float32)}
     n = len(starts)
     if n == 0 or len(names) < 2:
         return model
@@ -178,16 +222,25 @@ def train(docs: DataFrame, labels: Column, text: str = "text", sample_docs: int
     links = np.flatnonzero(inside)
     seen = np.zeros((len(names), len(names)))
     np.add.at(seen, (gold[links - 1], gold[links]), 1)
-    # Transitions: the posterior mean of the switch rates under a flat prior; weights: adaptive gradient steps.
+    # Transitions start at the posterior mean of the switch rates under a flat prior; then adaptive gradient steps for all.
     model["transitions"] = np.log((seen + 1) / (seen + 1).sum(axis=1, keepdims=True))
     power = np.full(model["weights"].shape, 1e-3)
+    power_pairs, power_lexicon = np.full(seen.shape, 1e-3), np.full(seen.shape, 1e-3)
+    frequent = model["lexicon"][1][lexicon_rows(model, word_hashes(data, starts, lengths))]
     for _ in range(rounds):
         scores = emissions(model, data, starts, lengths)
-        miss = (target - forward_backward(scores, first, model["transitions"])) * scale[:, None]
+        expected = np.zeros_like(seen)
+        miss = (target - forward_backward(scores, first, model["transitions"], expected)) * scale[:, None]
         gradient = np.stack([np.bincount(bucket, weights=miss[word, k], minlength=BUCKETS) for k in range(len(names))], axis=1) / n
         gradient -= 1e-7 * model["weights"]
         power += gradient**2 * 1e4
         model["weights"] = (model["weights"] + 0.5 * gradient * 100 / np.sqrt(power)).astype(np.float32)
+        gradient = frequent.T @ miss / n - 1e-7 * model["lexicon_weights"]
+        power_lexicon += gradient**2 * 1e4
+        model["lexicon_weights"] = (model["lexicon_weights"] + 0.1 * gradient * 100 / np.sqrt(power_lexicon)).astype(np.float32)
+        gradient = (seen - expected) / n - 1e-7 * model["transitions"]
+        power_pairs += gradient**2 * 1e4
+        model["transitions"] = model["transitions"] + 0.1 * gradient * 100 / np.sqrt(power_pairs)
     return model
 
 

@@ -304,6 +304,25 @@ def test_language_sample_counts_copies_once(spark):
         assert all(set(p) <= set(texts) for p in picked)
 
 
+def test_language_learns_transitions_and_a_lexicon(spark):
+    texts = ["The cat the dog"] * 30 + ["la casa la"] * 30
+    rows = frame(spark, texts, lang=["en"] * 30 + ["es"] * 30).select("text", F.col("lang").alias("label"))
+    assert langid.lexicon(rows) == {"en": {"the": 0.5, "cat": 0.25, "dog": 0.25}, "es": {"la": 2 / 3, "casa": 1 / 3}}
+    start, end = (langid.train(rows, F.col("label"), rounds=n) for n in (0, 20))
+    assert not np.allclose(start["transitions"], end["transitions"]) and end["lexicon_weights"].any()
+    assert end["lexicon_weights"][0, 0] > end["lexicon_weights"][0, 1] and end["lexicon_weights"][1, 1] > end["lexicon_weights"][1, 0]
+    # Expected pairs against all paths.
+    rng = np.random.default_rng(14)
+    scores, transitions, pairs, total = rng.normal(size=(5, 3)), rng.normal(size=(3, 3)), np.zeros((3, 3)), np.zeros((3, 3))
+    langid.forward_backward(scores, np.array([0, 5]), transitions, pairs)
+    for path in itertools.product(range(3), repeat=5):
+        steps = list(itertools.pairwise(path))
+        weight = math.exp(sum(scores[i, k] for i, k in enumerate(path)) + sum(transitions[p] for p in steps))
+        for p in steps:
+            total[p] += weight
+    assert np.allclose(pairs, 4 * total / total.sum())
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(13)
     scores, transitions = rng.normal(size=(9, 3)), rng.normal(size=(3, 3))
