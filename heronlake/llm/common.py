@@ -67,6 +67,12 @@ def crc_of(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0))
 
 
+def passed(keep: tuple[str, ...], made: tuple[str, ...]) -> tuple[str, ...]:
+    """The kept columns; one with the name of a column that the operator makes (in any case) is left out, so that the made one stands."""
+    own = {c.lower() for c in made}
+    return tuple(c for c in keep if c.lower() not in own)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose column ``text`` holds about ``limit`` bytes; a longer text stands alone."""
     for batch in batches:

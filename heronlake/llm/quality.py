@@ -2,9 +2,12 @@
 
 The method is the minimum covariance determinant.  A document's statistics
 become a short vector of whole numbers (in units of 1/1024), so that sums are
-exact and reruns agree.  Concentration steps run on Spark: each is one
-aggregation of counts, sums and products by group and binned distance, from
-which a small task for each group takes the closest share of the vectors.
+exact and reruns agree.  Vectors are estimated for each language and source,
+each language, and all documents, on the scale of the group's own medians and
+MADs.  Concentration steps run on Spark: each is one aggregation of counts,
+sums and products by group and binned distance, from which a small task for
+each group takes the closest share of the vectors.  A group's estimate is
+drawn towards its language's, and that towards the whole, by their sizes.
 """
 
 from __future__ import annotations
@@ -16,17 +19,24 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import by_bytes, written
+from heronlake.llm.common import by_bytes, passed, written
 from heronlake.llm.tokenhash import SPACE, buffer, mix, ngram_hashes, word_hashes, word_spans
 
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct", "n_short", "n_long")
 UNIT = 1024
 DIMS = 6
-#: A coordinate's variance is at least this: 0.06 squared.
-FLOOR = 0.06**2
-BINS = 1024
+#: Whole numbers for a MAD in the concentration steps, and the most MADs that a coordinate counts there.
+STEPS, FAR = 64, 100
+#: No direction's variance is below this, in squared MADs: a tenth of a MAD.
+FLOOR = 0.01
+BINS = 2048
+#: Characters and words of typical prose that are added to each text, so that the shares of short texts scatter no more than those of others.
+PRIOR_CHARS, PRIOR_WORDS = 500.0, 100.0
+#: The distinct texts of its language's weight in a group's estimate.
+PARENT = 60
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -67,6 +77,12 @@ def text_stats(column: pa.Array, window: int = 5) -> dict[str, np.ndarray]:
     starts, lengths, first = word_spans(data, offsets)
     out = {"n_words": np.diff(first), "word_chars": count(_POINT[data]), "n_symbols": count(_SYMBOL[data]), "n_upper": count(_UPPER[data]), "n_punct": count(_PUNCT[data])}
 
+    np.cumsum(_POINT[data], dtype=np.int32, out=sums[1:])
+    chars = sums[starts + lengths] - sums[starts]
+    row = np.repeat(np.arange(len(column)), np.diff(first))
+    for name, flags in (("n_short", chars <= 3), ("n_long", chars >= 9)):
+        out[name] = np.bincount(row, weights=flags, minlength=len(column)).astype(np.int64)
+
     line_starts, line_lengths, line_first = word_spans(data, offsets, _NEWLINE)
     row = np.repeat(np.arange(len(column)), np.diff(line_first))
     np.cumsum(~SPACE[data], dtype=np.int32, out=sums[1:])
@@ -92,7 +108,11 @@ def text_stats(column: pa.Array, window: int = 5) -> dict[str, np.ndarray]:
 
 
 def statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and the columns STATS (long) of every whole text; null texts have no words, lines or characters."""
+    """``keep`` and the columns STATS (long) of every whole text; null texts have no words, lines or characters.
+
+    A kept column with the name of one of STATS gives way to it.
+    """
+    keep = passed(keep, STATS)
     source = docs.select(*keep, text)
     schema = docs.select(*keep).schema
     for name in STATS:
@@ -112,15 +132,19 @@ def base_failed() -> Column:
 
 
 def vector() -> list[Column]:
-    """The transformed statistics, as whole numbers of units: log word length, roots of the shares of kinds of characters, and shares of repeats, all shrunk a little for short texts."""
-    share = lambda a, b, few: F.sqrt(F.col(a) / (F.col(b) + F.lit(float(few))))
+    """The transformed statistics, as whole numbers of units: log word length, the roots of the shares of upper case, punctuation, long words and line ends, and the share of short words.
+
+    Each count has that of PRIOR_CHARS or PRIOR_WORDS of typical prose added.
+    """
+    chars, words = F.lit(PRIOR_CHARS), F.lit(PRIOR_WORDS)
+    share = lambda a, typical, b, prior: (F.col(a) + F.lit(typical) * prior) / (F.col(b) + prior)
     parts = [
-        F.log((F.col("word_chars") + 50.0) / (F.col("n_words") + 10.0)),
-        share("n_symbols", "word_chars", 100),
-        share("n_upper", "word_chars", 100),
-        share("n_punct", "word_chars", 100),
-        F.col("n_dup_lines") / (F.col("n_lines") + 10.0),
-        F.col("n_repeat_words") / (F.col("n_words") + 20.0),
+        F.log(share("word_chars", 5.0, "n_words", words)),
+        F.sqrt(share("n_upper", 0.016, "word_chars", chars)),
+        F.sqrt(share("n_punct", 0.03, "word_chars", chars)),
+        share("n_short", 0.3, "n_words", words),
+        F.sqrt(share("n_long", 0.08, "n_words", words)),
+        F.sqrt(share("n_lines", 1 / 35, "n_words", words)),
     ]
     return [F.round(x * UNIT).cast("long").alias(f"v{i}") for i, x in enumerate(parts)]
 
@@ -131,9 +155,9 @@ def chi2(p: float, d: int) -> float:
     return d * (1 - a + NormalDist().inv_cdf(p) * a**0.5) ** 3
 
 
-def _quadratic() -> Column:
+def _quadratic(prefix: str = "v", unit: float = UNIT) -> Column:
     """Squared Mahalanobis distance of the columns v0.. from ``center`` by ``precision``."""
-    off = [F.col(f"v{i}") / F.lit(float(UNIT)) - F.col("center")[i] for i in range(DIMS)]
+    off = [F.col(f"{prefix}{i}") / F.lit(float(unit)) - F.col("center")[i] for i in range(DIMS)]
     total = F.lit(0.0)
     for i in range(DIMS):
         for j in range(i, DIMS):
@@ -141,11 +165,15 @@ def _quadratic() -> Column:
     return total
 
 
-_PARAMS = "g string, start int, center array<double>, precision array<double>, logdet double"
+_SCALES = "g string, median array<double>, mad array<double>"
+_PARAMS = "g string, start int, center array<double>, cov array<double>, precision array<double>, logdet double, settled boolean"
 
 
-def _initial(points: DataFrame) -> DataFrame:
-    """Coordinate-wise medians and MADs of each group, from a histogram of the whole-number coordinates."""
+def _scales(points: DataFrame) -> DataFrame:
+    """Coordinate-wise medians and MADs of each group, from a histogram of the whole-number coordinates.
+
+    A MAD counts at least a tenth of the standard deviation, and a unit.
+    """
     flat = points.select("g", F.posexplode(F.array(*[f"v{i}" for i in range(DIMS)])).alias("i", "v")).groupBy("g", "i", "v").agg(F.count(F.lit(1)).alias("n"))
 
     def median(values: np.ndarray, n: np.ndarray) -> float:
@@ -156,65 +184,103 @@ def _initial(points: DataFrame) -> DataFrame:
         center, scale = np.zeros(DIMS), np.zeros(DIMS)
         for i, part in rows.groupby("i"):
             v, n = part["v"].to_numpy() / UNIT, part["n"].to_numpy()
+            order = np.argsort(v)
+            v, n = v[order], n[order]
             center[i] = median(v, n)
-            scale[i] = max((1.4826 * median(np.abs(v - center[i]), n)) ** 2, FLOOR)
-        return pd.DataFrame({"g": rows["g"].iloc[:1], "start": [0], "center": [center.tolist()], "precision": [np.diag(1 / scale).ravel().tolist()], "logdet": [float(np.log(scale).sum())]})
+            mean = (v * n).sum() / n.sum()
+            deviation = np.sqrt(((v - mean) ** 2 * n).sum() / n.sum())
+            scale[i] = max(1.4826 * median(np.abs(v - center[i]), n), deviation / 10, 1 / UNIT)
+        return pd.DataFrame({"g": rows["g"].iloc[:1], "median": [center.tolist()], "mad": [scale.tolist()]})
 
-    return flat.groupBy("g").applyInPandas(run, _PARAMS)
+    return flat.groupBy("g").applyInPandas(run, _SCALES)
+
+
+def _scaled(points: DataFrame, scales: DataFrame) -> DataFrame:
+    """(g, u0 ..): the vectors in STEPS whole numbers a MAD from the median, at most FAR MADs."""
+    most = F.lit(STEPS * FAR)
+    steps = [F.round((F.col(f"v{i}") / F.lit(float(UNIT)) - F.col("median")[i]) / F.col("mad")[i] * STEPS) for i in range(DIMS)]
+    return points.join(scales, "g").select("g", *[F.greatest(-most, F.least(most, x)).cast("long").alias(f"u{i}") for i, x in enumerate(steps)])
 
 
 def _moments(points: DataFrame, params: DataFrame, distance: Column) -> DataFrame:
     """Counts, sums and products by group, start and binned distance: partly summed before the shuffle."""
-    far = points.join(params, "g").withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.log2(1 + 16 * distance) * 48)).cast("int"))
-    sums = [F.sum(f"v{i}").alias(f"s{i}") for i in range(DIMS)]
-    products = [F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"p{i}_{j}") for i in range(DIMS) for j in range(i, DIMS)]
-    return far.groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *sums, *products)
+    far = points.join(params, "g").withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.log2(1 + 16 * distance) * 96)).cast("int"))
+    sums = [F.sum(f"u{i}").alias(f"s{i}") for i in range(DIMS)]
+    products = [F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"p{i}_{j}") for i in range(DIMS) for j in range(i, DIMS)]
+    return far.groupBy("g", "start", "bin").agg(F.max("logdet").alias("before"), F.count(F.lit(1)).alias("n"), *sums, *products)
 
 
-def _concentrate(moments: DataFrame, share: float, scale: float) -> DataFrame:
-    """Mean and covariance of the closest ``share`` of each group's vectors; a bin is taken whole."""
+_SUMS = [f"s{i}" for i in range(DIMS)] + [f"p{i}_{j}" for i in range(DIMS) for j in range(i, DIMS)]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bin")
-        upto = int(np.searchsorted(np.cumsum(rows["n"].to_numpy()), share * rows["n"].sum())) + 1
-        near = rows.iloc[:upto]
-        n = int(near["n"].sum())
-        center = np.array([int(near[f"s{i}"].sum()) for i in range(DIMS)]) / n / UNIT
-        cov = np.zeros((DIMS, DIMS))
-        for i in range(DIMS):
-            for j in range(i, DIMS):
-                cov[i, j] = cov[j, i] = int(near[f"p{i}_{j}"].sum()) / n / UNIT**2 - center[i] * center[j]
-        cov = cov * scale
-        # A floor on every direction, so that a group of alike documents doesn't make the rest look far.
-        values, vectors = np.linalg.eigh((cov + cov.T) / 2)
-        values = np.maximum(values, FLOOR)
-        return pd.DataFrame({"g": rows["g"].iloc[:1], "start": rows["start"].iloc[:1].astype("int32"), "center": [center.tolist()], "precision": [((vectors / values) @ vectors.T).ravel().tolist()], "logdet": [float(np.log(values).sum())]})
-
-    return moments.groupBy("g", "start").applyInPandas(run, _PARAMS)
-
-
-def estimates(points: DataFrame, share: float = 0.75, steps: int = 5) -> DataFrame:
-    """Minimum-covariance-determinant estimates (g, center, precision) of each group of ``points`` (g, v0 .. v5).
-
-    Two starts are concentrated side by side: from the distances by medians
-    and MADs, and from the largest coordinate alone.  The smaller determinant
+
+def _concentrate(moments: DataFrame, share: float, scale: float, tolerance: float = 0.01) -> DataFrame:
+    """Mean and covariance of the closest ``share`` of each group's vectors; of the bin at the edge the missing part of its sums counts.
+
+    A group has BINS rows here at most.
+    """
+    own = W.partitionBy("g", "start")
+    wanted = F.lit(share) * F.sum("n").over(own)
+    before = F.sum("n").over(own.orderBy("bin")) - F.col("n")
+    rows = moments.withColumns({"wanted": wanted, "weight": F.greatest(F.lit(0.0), F.least(F.lit(1.0), (wanted - before) / F.col("n")))})
+    sums = rows.groupBy("g", "start").agg(F.max("before").alias("before"), F.max("wanted").alias("wanted"), *[F.sum(F.col(c) * F.col("weight")).alias(c) for c in _SUMS])
+    upper = np.triu_indices(DIMS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            means = rows[_SUMS].to_numpy(dtype=float) / rows["wanted"].to_numpy(dtype=float)[:, None]
+            center = means[:, :DIMS] / STEPS
+            cov = np.zeros((len(rows), DIMS, DIMS))
+            cov[:, upper[0], upper[1]] = cov[:, upper[1], upper[0]] = means[:, DIMS:] / STEPS**2
+            values, vectors = np.linalg.eigh((cov - center[:, :, None] * center[:, None, :]) * scale)
+            values = np.maximum(values, FLOOR)
+            logdet = np.log(values).sum(axis=1)
+            flat = lambda x: ((vectors * x[:, None, :]) @ vectors.transpose(0, 2, 1)).reshape(-1, DIMS * DIMS).tolist()
+            settled = np.abs(logdet - rows["before"].astype(float).to_numpy()) <= tolerance
+            yield pd.DataFrame({"g": rows["g"], "start": rows["start"].astype("int32"), "center": center.tolist(), "cov": flat(values), "precision": flat(1 / values), "logdet": logdet, "settled": settled})
+
+    return sums.mapInPandas(run, _PARAMS)
+
+
+def estimates(points: DataFrame, share: float = 0.75, steps: int = 20) -> DataFrame:
+    """Minimum-covariance-determinant estimates (g, n, center, cov) of each group of ``points`` (g, v0 .. v5).
+
+    Two starts are concentrated side by side: from the closest vectors in
+    squared MADs, and by the largest coordinate alone.  Each is concentrated
+    until its determinant settles, or ``steps`` times.  The smaller determinant
     wins, ties go to the first start; then one reweighting by the 97.5 %
-    quantile.  Scales are made consistent for a normal distribution.
+    quantile.  Scales are made consistent for a normal distribution, and no
+    direction is narrower than a tenth of a MAD.
     """
     points = written(points, "mcd-points")
-    first = written(_initial(points), "mcd-params")
-    box = F.greatest(*[F.pow(F.col(f"v{i}") / F.lit(float(UNIT)) - F.col("center")[i], 2) * F.col("precision")[i * DIMS + i] for i in range(DIMS)])
-    both = first.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    scales = written(_scales(points), "mcd-scales")
+    scaled = written(_scaled(points, scales), "mcd-scaled")
+    squares = [F.pow(F.col(f"u{i}") / F.lit(float(STEPS)), 2) for i in range(DIMS)]
+    first = F.when(F.col("start") == 0, sum(squares[1:], squares[0])).otherwise(DIMS * F.greatest(*squares))
+    both = scales.select("g", F.explode(F.array(F.lit(0), F.lit(1))).alias("start"), F.lit(None).cast("double").alias("logdet"))
     # The share of a normal distribution's covariance that its closest part shows.
-    cut = chi2(share, DIMS)
-    inner = _chi2_below(cut, DIMS + 2) / share
-    params = written(_concentrate(_moments(points, both, F.when(F.col("start") == 0, _quadratic()).otherwise(box)), share, 1 / inner), "mcd-params")
+    inner = _chi2_below(chi2(share, DIMS), DIMS + 2) / share
+    now = written(_concentrate(_moments(scaled, both, first), share, 1 / inner), "mcd-params")
+    ended = []
     for _ in range(steps):
-        params = written(_concentrate(_moments(points, params, _quadratic()), share, 1 / inner), "mcd-params")
-    best = params.groupBy("g").agg(F.min(F.struct("logdet", "start", "center", "precision")).alias("b")).select("g", F.col("b.start").alias("start"), "b.center", "b.precision", F.col("b.logdet").alias("logdet"))
-    near = points.join(best, "g").where(_quadratic() <= chi2(0.975, DIMS)).select(*points.columns)
-    again = _concentrate(_moments(near, best, _quadratic()), 1.0, 0.975 / _chi2_below(chi2(0.975, DIMS), DIMS + 2))
-    return written(again.select("g", "center", "precision"), "mcd-params")
+        now = written(_concentrate(_moments(scaled, now, _quadratic("u", STEPS)), share, 1 / inner), "mcd-params")
+        ended.append(now.where("settled"))
+        now = now.where("not settled")
+        if not now.take(1):
+            break
+    else:
+        ended.append(now)
+    every = ended[0]
+    for more in ended[1:]:
+        every = every.unionByName(more)
+    best = every.groupBy("g").agg(F.min(F.struct("logdet", "start", "center", "precision")).alias("b")).select("g", F.col("b.start").alias("start"), "b.center", "b.precision", "b.logdet")
+    best = written(best, "mcd-best")
+    near = scaled.join(best, "g").where(_quadratic("u", STEPS) <= chi2(0.975, DIMS)).select(*scaled.columns)
+    again = _concentrate(_moments(near, best, F.lit(0.0)), 1.0, 0.975 / _chi2_below(chi2(0.975, DIMS), DIMS + 2))
+    sizes = points.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    # Back from MADs.
+    center = F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda i: F.col("median")[i] + F.col("mad")[i] * F.col("center")[i])
+    cov = F.transform(F.sequence(F.lit(0), F.lit(DIMS * DIMS - 1)), lambda i: F.col("cov")[i] * F.col("mad")[F.floor(i / DIMS).cast("int")] * F.col("mad")[i % DIMS])
+    return written(again.join(scales, "g").join(sizes, "g").select("g", "n", center.alias("center"), cov.alias("cov")), "mcd-estimates")
 
 
 def _chi2_below(x: float, d: int) -> float:
@@ -226,59 +292,67 @@ def _chi2_below(x: float, d: int) -> float:
     return 1 - float(np.exp(-x / 2)) * total
 
 
-def _mark(column: str) -> Column:
-    return F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit("~"))
+def _levels() -> list[Column]:
+    """The groups of a row: its language and source, its language, and all; null is a value of its own."""
+    name = lambda *parts: F.to_json(F.array(*parts)) if parts else F.lit("[]")
+    return [name("_lang", "_source"), name("_lang"), name()]
 
 
-def fit(stats: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Groups and estimates from a written table of ``_lang``, ``_source``, base_failed and the vector.
+def fit(stats: DataFrame) -> DataFrame:
+    """The model (g, center, precision) of each language and source, from a table of ``_lang``, ``_source``, ``_text_key``, base_failed and the vector.
 
-    Result: (_l, _s, g), the group of every language and source, and (g,
-    center, precision), the estimates of groups that are large enough.
+    Each distinct text of a group counts once.  An estimate of n texts has the
+    weight n against PARENT for its language's, which in turn is drawn so
+    towards that of all; so a group of a single text has an estimate as well.
     """
-    sizes = stats.where(~F.col("base_failed")).groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_fine", F.when(F.col("_n") >= least, F.concat(_mark("_lang"), F.lit("\n"), _mark("_source"))))
-    pooled = sizes.where("_fine is null").groupBy("_lang").agg(F.sum("_n").alias("_m"))
-    levels = sizes.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), "_fine").join(pooled.select(F.col("_lang").alias("_l2"), "_m"), F.col("_l").eqNullSafe(F.col("_l2")), "left")
-    levels = levels.select("_l", "_s", F.coalesce("_fine", F.when(F.col("_m") >= least, F.concat(F.lit("L"), _mark("_l"))), F.lit("*")).alias("g"))
-    levels = written(levels, "quality-groups")
-    grouped = _grouped(stats.where(~F.col("base_failed")), levels)
-    found = estimates(grouped.select("g", *[f"v{i}" for i in range(DIMS)]).distinct())
-    enough = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return levels, written(found.join(enough, "g", "left_semi"), "quality-model")
+    once = stats.where("not base_failed").select("_lang", "_source", "_text_key", *[f"v{i}" for i in range(DIMS)]).dropDuplicates(["_lang", "_source", "_text_key"])
+    fine, mid, all_ = _levels()
+    found = estimates(once.select(F.explode(F.array(fine, mid, all_)).alias("g"), *[f"v{i}" for i in range(DIMS)]))
+    groups = once.select(fine.alias("g"), mid.alias("g1"), all_.alias("g2")).distinct()
+    for k in ("1", "2"):
+        groups = groups.join(found.select(F.col("g").alias(f"g{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("n", "center", "cov")]), f"g{k}")
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            center, cov = np.array(rows["center2"].tolist()).reshape(-1, DIMS), np.array(rows["cov2"].tolist()).reshape(-1, DIMS * DIMS)
+            for k in ("1", ""):
+                own = (rows[f"n{k}"] / (rows[f"n{k}"] + PARENT)).to_numpy()[:, None]
+                center = own * np.array(rows[f"center{k}"].tolist()).reshape(-1, DIMS) + (1 - own) * center
+                cov = own * np.array(rows[f"cov{k}"].tolist()).reshape(-1, DIMS * DIMS) + (1 - own) * cov
+            precision = np.linalg.inv(cov.reshape(-1, DIMS, DIMS)).reshape(-1, DIMS * DIMS)
+            yield pd.DataFrame({"g": rows["g"], "center": center.tolist(), "precision": precision.tolist()})
+
+    return written(groups.join(found, "g").mapInPandas(draw, "g string, center array<double>, precision array<double>"), "quality-model")
 
 
-def _grouped(stats: DataFrame, levels: DataFrame) -> DataFrame:
-    return stats.join(levels, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s")
+_MADE = (*STATS, "base_failed", "distance", "kept")
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: tuple[str, ...] = ("doc_id",), least: int = 100, p: float = 1 - 1e-5) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: tuple[str, ...] = ("doc_id",), p: float = 1 - 1e-5) -> DataFrame:
     """Base statistics and the verdict ``kept`` for every row.
 
-    Result: ``keep``, STATS, base_failed, distance (squared Mahalanobis, null
-    where there is no estimate) and kept.  Groups are (language, source), null
-    being a value of its own.  A group with fewer than ``least`` rows that pass
-    the base rules joins the rest of its language, and that, if still small,
-    the rest of all; where that is small too, every row that passes the base
-    rules is kept.  Estimates use each distinct vector of a group once, so
-    copies, however many, count as one; every row is judged.  Null and empty
-    texts fail the base rules.  ``keep`` may not hold names used here.
+    Result: ``keep``, STATS, base_failed, distance (squared Mahalanobis; null
+    only where all texts of the language and source fail the base rules) and
+    kept.  Groups are (language, source), null being a value of its own.
+    Estimates use each distinct text of a group once, so copies, however many,
+    count as one; every row is judged.  Null and empty texts fail the base
+    rules.  A kept column with the name of one made here gives way to it.
     Where ``keep`` holds the text, the statistics are computed a second time
     with it rather than written to disk beside it.
     """
-    names = tuple(f"_k_{c}" for c in keep)
-    own = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(lang).alias("_lang"), F.col(source).alias("_source"), F.col(text).alias("_text"))
-    wide = text in keep
-    stats = statistics(own, "_text", (*names, "_lang", "_source")).withColumn("base_failed", base_failed()).select("*", *vector())
-    narrow = statistics(own, "_text", ("_lang", "_source")).withColumn("base_failed", base_failed()).select("*", *vector()) if wide else stats
-    narrow = written(narrow, "quality-stats")
-    levels, found = fit(narrow, least)
-    judged = _grouped(stats if wide else narrow, levels).join(found, "g", "left").withColumn("distance", _quadratic())
-    kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= chi2(p, DIMS)))
-    return judged.select(*[F.col(f"_k_{c}").alias(c) for c in keep], *STATS, "base_failed", "distance", kept.alias("kept"))
-
-
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns."""
-    judged = judge(docs.select([F.col(c).alias(f"in_{i}") for i, c in enumerate(docs.columns)]), **{k: f"in_{docs.columns.index(options.pop(k, k))}" for k in ("text", "lang", "source")}, keep=tuple(f"in_{i}" for i in range(len(docs.columns))), **options)
-    return judged.where("kept").select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    keep = passed(keep, _MADE)
+    names = tuple(f"_k_{i}" for i in range(len(keep)))
+    own = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(lang).cast("string").alias("_lang"), F.col(source).cast("string").alias("_source"), F.xxhash64(text).alias("_text_key"), F.col(text).alias("_text"))
+    full = lambda kept: statistics(own, "_text", (*kept, "_lang", "_source", "_text_key")).withColumn("base_failed", base_failed()).select("*", *vector())
+    narrow = written(full(() if text in keep else names), "quality-stats")
+    rows = full(names) if text in keep else narrow
+    judged = rows.withColumn("g", _levels()[0]).join(fit(narrow), "g", "left").withColumn("distance", _quadratic())
+    kept = ~F.col("base_failed") & (F.col("distance") <= chi2(p, DIMS))
+    return judged.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *STATS, "base_failed", "distance", F.coalesce(kept, F.lit(False)).alias("kept"))
+
+
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    at = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    judged = judge(docs.select([F.col(c).alias(n) for c, n in at.items()]), at[text], at[lang], at[source], keep=tuple(at.values()), **options)
+    return judged.where("kept").select([F.col(n).alias(c) for c, n in at.items()])

@@ -53,7 +53,7 @@ def test_quality_stage(stages):
         failed = len(words) < 10 or 100 * len(cover) > 20 * len(words)
         assert r["base_failed"] == failed
         # The distance from the group's estimate decides on the rest.
-        if not failed and (r["distance"] is None or r["distance"] <= quality.chi2(1 - 1e-5, quality.DIMS)):
+        if not failed and r["distance"] <= quality.chi2(1 - 1e-5, quality.DIMS):
             kept.append(tuple(r[c] for c in before.columns))
     assert rows(after) == sorted(kept, key=repr) and 0 < len(kept) < before.count()
     assert 91_000 not in {r["doc_id"] for r in after.collect()}

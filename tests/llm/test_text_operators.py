@@ -61,24 +61,91 @@ def test_quality_verdicts(spark):
     good = quality.keep_good(frame(spark, texts, source=source))
     assert good.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_words"] and good.count() == sum(kept)
     assert quality.judge(frame(spark, texts).limit(0)).count() == 0
-    few = by_id(quality.judge(frame(spark, clean[:20] + ["short"])))
-    assert all(few[i]["kept"] and few[i]["distance"] is None for i in range(20)) and not few[20]["kept"]
+    # Every document that passes the base rules has a distance, in a group of one as well.
+    source = ["s"] * 300 + ["t"] * 4 + ["u", "v"]
+    few = by_id(quality.judge(frame(spark, clean + clean[:4] + [junk[0], "short"], source=source)))
+    assert all(few[i]["kept"] and few[i]["distance"] >= 0 for i in range(300, 304)) and not few[304]["kept"] and few[304]["distance"] > 33 and few[305]["distance"] is None
+
+
+def test_quality_verdicts_against_brute_force(spark):
+    rng = random.Random(21)
+    prose = lambda p: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, p))) + rng.choice(["", "", ".", ",\n"]) for _ in range(rng.randint(40, 190)))
+    texts = [prose(9) for _ in range(150)] + [prose(7).title() for _ in range(90)] + [" | ".join(prose(9).split()) for _ in range(12)]
+    texts += texts[:5] * 3
+    lang, source = [rng.choice(["xx", "xx", None]) for _ in texts], [rng.choice(["a", "b", None]) for _ in texts]
+    got = by_id(quality.judge(frame(spark, texts, lang=lang, source=source)))
+    v = np.array([[r[f"v{i}"] for i in range(quality.DIMS)] for r in sorted(quality.statistics(frame(spark, texts)).select("doc_id", *quality.vector()).collect(), key=lambda r: r["doc_id"])]) / quality.UNIT
+
+    def plain(rows):
+        z = v[sorted({texts[i]: i for i in rows}.values())]
+        median = np.median(np.sort(z, axis=0)[: len(z) - (len(z) % 2 == 0)], axis=0)
+        spread = np.abs(z - median)
+        mad = np.maximum(1.4826 * np.median(np.sort(spread, axis=0)[: len(z) - (len(z) % 2 == 0)], axis=0), np.maximum(z.std(axis=0) / 10, 1 / quality.UNIT))
+        y = np.clip((z - median) / mad, -quality.FAR, quality.FAR)
+        best = None
+        for far in ((y**2).sum(axis=1), (y**2).max(axis=1)):
+            for _ in range(30):
+                near = y[np.argsort(far)[: max(1, round(0.75 * len(y)))]]
+                center, cov = near.mean(axis=0), np.cov(near.T, bias=True) * 0.75 / quality._chi2_below(quality.chi2(0.75, quality.DIMS), quality.DIMS + 2)
+                values, vectors = np.linalg.eigh(cov)
+                values = np.maximum(values, quality.FLOOR)
+                far = ((y - center) @ vectors) ** 2 @ (1 / values)
+            if best is None or np.log(values).sum() < best[0] - 1e-9:
+                best = (np.log(values).sum(), far)
+        near = y[best[1] <= quality.chi2(0.975, quality.DIMS)]
+        values, vectors = np.linalg.eigh(np.cov(near.T, bias=True) * 0.975 / quality._chi2_below(quality.chi2(0.975, quality.DIMS), quality.DIMS + 2))
+        return len(z), median + mad * near.mean(axis=0), (vectors * np.maximum(values, quality.FLOOR)) @ vectors.T * np.outer(mad, mad)
+
+    good = [i for i in range(len(texts)) if not got[i]["base_failed"]]
+    _, all_center, all_cov = plain(good)
+    wrong = 0
+    for key in set(zip(lang, source, strict=True)):
+        rows = [i for i in good if (lang[i], source[i]) == key]
+        center, cov = all_center, all_cov
+        for n, own_center, own_cov in (plain([i for i in good if lang[i] == key[0]]), plain(rows)):
+            w = n / (n + quality.PARENT)
+            center, cov = w * own_center + (1 - w) * center, w * own_cov + (1 - w) * cov
+        far = np.einsum("ij,jk,ik->i", v[rows] - center, np.linalg.inv(cov), v[rows] - center)
+        assert np.median(np.abs(np.array([got[i]["distance"] for i in rows]) / far - 1)) < 0.1
+        wrong += sum(got[i]["kept"] != (d <= quality.chi2(1 - 1e-5, quality.DIMS)) for i, d in zip(rows, far, strict=True))
+    assert wrong <= 2 and 0 < sum(not got[i]["kept"] for i in good) < 40
+
+
+def points_of(spark, x):
+    v = np.round(x * quality.UNIT).astype(int)
+    return spark.createDataFrame([("g", *map(int, r)) for r in v], "g string, " + ", ".join(f"v{i} long" for i in range(quality.DIMS)))
 
 
 def test_mcd_matches_the_plain_algorithm(spark):
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(600, quality.DIMS)) @ np.diag([1, 0.5, 2, 1, 1, 0.7])
+    x = rng.normal(size=(600, quality.DIMS)) @ np.diag([1, 0.05, 2, 1, 1, 0.7])
     x[:80] += 9
-    v = np.round(x * quality.UNIT).astype(int)
-    points = spark.createDataFrame([("g", *map(int, r)) for r in v], "g string, " + ", ".join(f"v{i} long" for i in range(quality.DIMS)))
-    found = quality.estimates(points).first()
-    z = v / quality.UNIT
-    center, precision = np.array(found["center"]), np.array(found["precision"]).reshape(quality.DIMS, -1)
-    assert np.abs(center - z[80:].mean(axis=0)).max() < 0.15
-    far = np.einsum("ij,jk,ik->i", z - center, precision, z - center)
+    found = quality.estimates(points_of(spark, x)).first()
+    center, cov = np.array(found["center"]), np.array(found["cov"]).reshape(quality.DIMS, -1)
+    assert found["n"] == 600 and np.abs(center - x[80:].mean(axis=0)).max() < 0.15
+    assert np.allclose(np.sqrt(np.diag(cov)), x[80:].std(axis=0), rtol=0.15)
+    far = np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(cov), x - center)
     assert far[:80].min() > quality.chi2(0.999, quality.DIMS) > np.quantile(far[80:], 0.97)
 
 
+def test_mcd_follows_correlations(spark):
+    """A vector off the correlation is far though each coordinate is near, and one along it is near though its length is large."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, quality.DIMS))
+    x[:, 1] = x[:, 0] + 0.2 * x[:, 1]
+    off, along = np.zeros(quality.DIMS), np.zeros(quality.DIMS)
+    off[:2], along[:2] = (1.5, -1.5), (3.2, 3.2)
+    x[:5] = off
+    found = quality.estimates(points_of(spark, x)).first()
+    center, precision = np.array(found["center"]), np.linalg.inv(np.array(found["cov"]).reshape(quality.DIMS, -1))
+    distance = lambda y: (y - center) @ precision @ (y - center)
+    cut = quality.chi2(1 - 1e-5, quality.DIMS)
+    assert distance(off) > cut > distance(along) and (off**2).sum() < cut < 2 * (along**2).sum()
+    values = np.linalg.eigvalsh(np.array(found["cov"]).reshape(quality.DIMS, -1))
+    # None at the floor.
+    assert values.min() > 2 * quality.FLOOR * 0.9
+
+
 def brute_components(sets, percent):
     parent = list(range(len(sets)))
 
