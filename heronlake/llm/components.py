@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import written
+from heronlake.llm.common import forget, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         least = _least(large)
         small = large.join(least, F.col("a") == F.col("u"))
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        now = written(small, "cc")
+        before, now = now, written(small, "cc")
+        forget(before, large)
         got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if got == mark:
             break

@@ -2,35 +2,37 @@
 
 1. A document's set are the hashes of its distinct word n-grams.  Equal sets
    become one (their copies are linked without comparison).
-2. An n-gram that no other set holds can't be in an intersection: sets with too
-   few shared n-grams are linked with nothing.  Shared n-grams are counted
-   exactly in two packed shuffles, and again among the sets that are left.
+2. Linked sets share at least some of the first n-grams of each in the order of
+   their hashes: sets that share too few of these with any others are linked
+   with nothing.  Of the sets left all n-grams are counted.
 3. N-grams are ordered globally, rare ones first.  Linked sets share one of
    their first few; sets that do are candidates, and their connected
    components are joined independently.
 4. In a component the sets are stored in a trie in that order.  Each set
    traverses it, sharing the partial overlaps of common paths, and leaves a
    subtree as soon as the remaining lengths can't give the overlap it needs.
+
+N-grams are rows (token, rid) of two longs; counting and joining them is Spark's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from heronlake.llm.common import by_bytes, shuffle_partitions, written
+from heronlake.llm.common import by_bytes, forget, passed, shuffle_partitions, written
 from heronlake.llm.components import components
-from heronlake.llm.tokenhash import buffer, mix, ngram_hashes, pack, pack_sorted, unpack, unpack_sorted, word_hashes, word_spans
+from heronlake.llm.tokenhash import buffer, mix, ngram_hashes, word_hashes, word_spans
 
-#: N-grams of a chunk that is packed together, and of a block of a trie.
-CHUNK, BLOCK = 1_500_000, 2_000_000
-#: Counters of the sketch that orders n-grams, and the parts in which it is summed.
-SKETCH, SLICES = 1 << 20, 64
+#: N-grams of a block of a trie.
+BLOCK = 100_000
+#: One of so many n-grams of a set is wanted beyond the first that a link needs, before sets are read whole.
+SLACK = 8
 
 
 def sets_of(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -59,212 +61,88 @@ def _prints(found: list[np.ndarray]) -> list[bytes]:
         return [int(mix(x).sum()).to_bytes(8, "big") + int(mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum() ^ np.uint64(len(x))).to_bytes(8, "big") for x in found]
 
 
-def _to_ipc(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as w:
-        w.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _from_ipc(raw: bytes) -> pa.Table:
-    return pa.ipc.open_stream(raw).read_all()
-
-
-_PACKED = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
-_PACKED_SPARK = "chunk long, part int, kind int, a binary, b binary"
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], kept: int, read: Callable[[pa.Array], list[np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
-    """Pack the sets of many rows by ranges of hashes, with a header row for each chunk."""
-    task = TaskContext.get().partitionId()
-    rows: list[pa.RecordBatch] = []
-    sets: list[np.ndarray] = []
-    serial = total = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal serial
-        chunk = task << 32 | serial
-        serial += 1
-        prints = _prints(sets)
-        index: dict[bytes, int] = {}
-        own = [index.setdefault(p, len(index)) for p in prints]
-        once = [None] * len(index)
-        for k, x in zip(own, sets, strict=True):
-            once[k] = x
-        tokens = np.concatenate([(x >> np.uint64(32)).astype(np.uint32) for x in once])
-        docs = np.repeat(np.arange(len(once), dtype=np.uint32), [len(x) for x in once])
-        order = np.argsort(tokens, kind="stable")
-        tokens, docs = tokens[order], docs[order]
-        same = tokens[1:] == tokens[:-1]
-        here = np.zeros(len(tokens), dtype=bool)
-        here[1:] |= same
-        here[:-1] |= same
-        shared = np.bincount(docs[here], minlength=len(once))
-        # Of an n-gram shared within the chunk one marker goes out, whose document is beyond the last.
-        first = np.ones(len(tokens), dtype=bool)
-        first[1:] = ~same
-        docs = np.where(here, np.uint32(len(once)), docs)[first]
-        tokens = tokens[first]
-        header = pa.Table.from_batches(rows).combine_chunks()
-        header = header.append_column("__n", pa.array([len(x) for x in sets], pa.int64())).append_column("__print", pa.array(prints, pa.binary())).append_column("__own", pa.array(own, pa.int64())).append_column("__shared", pa.array(shared[own], pa.int64()))
-        cuts = np.searchsorted(tokens, (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
-        out = [(chunk, chunk % parts, 0, _to_ipc(header.to_batches()[0]), b"")]
-        for k in range(parts):
-            s = slice(cuts[k], cuts[k + 1])
-            if cuts[k + 1] > cuts[k]:
-                out.append((chunk, k, 1, pack_sorted(tokens[s]), pack(docs[s])))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _PACKED.types, strict=True)], schema=_PACKED)
-
-    for batch in batches:
-        found = read(batch.column(kept))
-        rows.append(pa.RecordBatch.from_arrays(batch.columns[:kept], names=batch.schema.names[:kept]))
-        sets += found
-        total += sum(map(len, found))
-        if total >= CHUNK:
-            yield from flush()
-            rows, sets, total = [], [], 0
-    if rows:
-        yield from flush()
-
-
-def _serve(table: pa.Table) -> pa.Table:
-    """One range of hashes: for each chunk, how many n-grams of each document are held elsewhere too."""
-    kind = table.column("kind").to_numpy()
-    headers = table.filter(pa.array(kind == 0))
-    asked = table.filter(pa.array(kind == 1))
-    tokens = [unpack_sorted(x, np.uint32) for x in asked.column("a").to_pylist()]
-    out = []
-    if tokens:
-        every = np.sort(np.concatenate(tokens))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        del every
-        for row, mine in enumerate(tokens):
-            docs = unpack(asked.column("b")[row].as_py(), np.uint32)
-            at = np.searchsorted(twice, mine)
-            at[at == len(twice)] = 0
-            hit = twice[at] == mine if len(twice) else np.zeros(len(mine), dtype=bool)
-            counts = np.bincount(docs[hit]).astype(np.uint32)
-            if len(counts):
-                out.append((asked.column("chunk")[row].as_py(), asked.column("part")[row].as_py(), 1, pack(counts), b""))
-    answers = pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(_PACKED.types)], schema=_PACKED)
-    return pa.concat_tables([headers.cast(_PACKED), answers])
-
-
-def count_shared(rows: DataFrame, kept: tuple[str, ...], column: str, read: Callable[[pa.Array], list[np.ndarray]]) -> DataFrame:
-    """``kept``, n (set size), print (fingerprint) and shared: n-grams that another, different set holds as well.
-
-    ``shared`` may be too high by chance (hashes of 32 bits are compared, and a
-    copy in another chunk counts), never too low.
-    """
-    parts = max(6, shuffle_partitions(rows.sparkSession) // 2)
-    source = rows.select(*kept, column)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _chunks(by_bytes(batches, len(kept), 3 << 20), len(kept), read, parts)
-
-    schema = rows.select(*kept).schema
-    for name, kind in (("n", "long"), ("print", "binary"), ("shared", "long")):
-        schema = schema.add(name, kind)
-
-    def answer(table: pa.Table) -> pa.Table:
-        kind = table.column("kind").to_numpy()
-        header = _from_ipc(table.column("a")[int(np.flatnonzero(kind == 0)[0])].as_py())
-        own = header.column("__own").to_numpy()
-        total = np.zeros(int(own.max()) + 2, dtype=np.int64)
-        for i in np.flatnonzero(kind == 1):
-            counts = unpack(table.column("a")[int(i)].as_py(), np.uint32)
-            total[: len(counts)] += counts
-        shared = total[own] + header.column("__shared").to_numpy()
-        return pa.Table.from_arrays([*[header.column(c) for c in kept], header.column("__n"), header.column("__print"), pa.array(shared, pa.int64())], names=schema.names)
-
-    packed = source.mapInArrow(ask, _PACKED_SPARK)
-    return packed.groupBy("part").applyInArrow(_serve, _PACKED_SPARK).groupBy("chunk").applyInArrow(answer, schema)
+def need(n: int, percent: int) -> int:
+    """The least overlap of a set of size n with any linked set, and the least size of one."""
+    return -(-percent * n // 100)
 
 
-def read_sets(column: pa.Array) -> list[np.ndarray]:
-    """Sets stored as binary."""
-    return [np.frombuffer(x, dtype=np.uint64) for x in column.to_pylist()]
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    flat = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def classes_of(sets: DataFrame) -> np.ndarray:
-    """For each counter of a sketch, the rounded logarithm of how many n-grams fell on it.
+def describe(docs: DataFrame, size: int, percent: int, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """``keep``, n (set size), print (128-bit fingerprint of the set) and head: the first n-grams by hash, given once for equal sets of a batch.
 
-    Any such table orders n-grams; this one puts those of many sets last.  It
-    has SKETCH bytes, whatever the input.
+    Of the o >= need(n) n-grams that a set shares with a linked one, the first
+    k stand among its first n - need(n) + k, and so they do in the other set.
     """
+    schema = docs.select(*keep).schema.add("n", "long").add("print", "binary").add("head", T.ArrayType(T.LongType()))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(SKETCH, dtype=np.int64)
-        for batch in batches:
-            for x in read_sets(batch.column(0)):
-                own += np.bincount((x & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) if len(x) > SKETCH // 64 else 0
-                if len(x) <= SKETCH // 64:
-                    np.add.at(own, (x & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-        cut = SKETCH // SLICES
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([own[i * cut : (i + 1) * cut].astype("<i8").tobytes() for i in range(SLICES)], pa.binary())], names=["slice", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, dtype="<i8") for x in table.column("counts").to_pylist()], axis=0)
-        return pa.table({"slice": table.column("slice").slice(0, 1).cast(pa.int32()), "counts": pa.array([np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()], pa.binary())})
-
-    rows = sets.select("set").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
-    out = np.zeros(SKETCH, dtype=np.uint8)
-    cut = SKETCH // SLICES
-    for r in rows:
-        out[r["slice"] * cut : (r["slice"] + 1) * cut] = np.frombuffer(bytes(r["counts"]), dtype=np.uint8)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_bytes(batches, len(keep), 3 << 20):
+            found = sets_of(part.column(len(keep)), size)
+            prints = _prints(found)
+            seen: set[bytes] = set()
+            heads = []
+            for x, p in zip(found, prints, strict=True):
+                heads.append(x[:0] if p in seen else x[: len(x) - need(len(x), percent) + max(1, len(x) // SLACK)])
+                seen.add(p)
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array([len(x) for x in found], pa.int64()), pa.array(prints, pa.binary()), _lists(heads)], names=schema.names)
 
+    return docs.select(*keep, text).mapInArrow(run, schema)
 
-def in_order(found: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """A set in the global order: by class, then by hash."""
-    return found[np.lexsort((found, classes[(found & np.uint64(SKETCH - 1)).astype(np.int64)]))]
 
-
-def need(n: int, percent: int) -> int:
-    """The least overlap of a set of size n with any linked set."""
-    return -(-percent * n // 100)
+def _shared(tokens: DataFrame) -> DataFrame:
+    """(token, hub) of the n-grams of (token, rid) that more than one set holds, with the smallest."""
+    return tokens.groupBy("token").agg(F.min("rid").alias("hub"), F.max("rid").alias("_last")).where("hub <> _last").select("token", "hub")
 
 
 class Trie:
-    """Ordered sets with shared starts; an edge holds the n-grams up to the next branch."""
+    """Ordered sets with shared starts; an edge holds the n-grams up to the next branch.
+
+    A set is given by its n-grams that any other set holds, and its size: the
+    n-grams of its own come first in the order and match nothing.
+    """
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.root: list = [[], {}, [], 1 << 60, 0]  # n-grams, children by their first, members that end here, least and largest set below
+        self.root: list = [[], {}, [], 1 << 60, 0, 1 << 60]  # n-grams, children by their first, members that end here, least and largest set below, fewest own n-grams below
 
-    def add(self, ordered: list[int], member: int) -> None:
-        node, at, n = self.root, 0, len(ordered)
-        node[3], node[4] = min(node[3], n), max(node[4], n)
-        while at < n:
+    def add(self, ordered: list[int], n: int, member: int) -> None:
+        node, at, length, own = self.root, 0, len(ordered), n - len(ordered)
+        node[3], node[4], node[5] = min(node[3], n), max(node[4], n), min(node[5], own)
+        while at < length:
             child = node[1].get(ordered[at])
             if child is None:
-                node[1][ordered[at]] = [ordered[at:], {}, [(member, n)], n, n]
+                node[1][ordered[at]] = [ordered[at:], {}, [(member, n)], n, n, own]
                 return
             edge, k = child[0], 0
-            stop = min(len(edge), n - at)
+            stop = min(len(edge), length - at)
             while k < stop and edge[k] == ordered[at + k]:
                 k += 1
             if k < len(edge):  # split the edge where the sets part
-                lower = [edge[k:], child[1], child[2], child[3], child[4]]
+                lower = [edge[k:], child[1], child[2], child[3], child[4], child[5]]
                 child[0], child[1], child[2] = edge[:k], {edge[k]: lower}, []
-            child[3], child[4] = min(child[3], n), max(child[4], n)
+            child[3], child[4], child[5] = min(child[3], n), max(child[4], n), min(child[5], own)
             node, at = child, at + k
         node[2].append((member, n))
 
-    def matches(self, ordered: list[int]) -> Iterator[int]:
+    def matches(self, ordered: list[int], n: int) -> Iterator[int]:
         """Members linked with a set, the likeliest paths first."""
-        n, p = len(ordered), self.percent
+        p, alone = self.percent, n - len(ordered)
         place = {t: i for i, t in enumerate(ordered)}
         # 100 * overlap >= p * union  <=>  (100 + p) * overlap >= p * (n + m)
         q = 100 + p
-        stack = [(self.root, 0, 0, 0)]  # node, overlap above it, own n-grams passed without a match, theirs without a match
+        stack = [(self.root, 0, alone, 0)]  # node, overlap above it, own n-grams passed without a match, theirs without a match
         while stack:
             node, overlap, own, theirs = stack.pop()
             if 100 * node[4] < p * n or 100 * n < p * node[3]:
                 continue
             least = max(node[3], -(-p * n // 100))
             # What remains on either side bounds the overlap that can still come.
-            most_theirs = (100 * node[4] - p * n) // q if node[4] * 100 >= p * n else -1
+            most_theirs = (100 * node[4] - p * n) // q - node[5]
             most_own = (100 * n - p * least) // q
             if theirs > most_theirs or own > most_own:
                 continue
@@ -275,7 +153,7 @@ class Trie:
                     if theirs > most_theirs:
                         break
                 else:
-                    own = i - overlap
+                    own = alone + i - overlap
                     overlap += 1
                     if own > most_own:
                         break
@@ -289,7 +167,7 @@ class Trie:
                 stack += matched
 
 
-def _join(rids: list[int], labels: list[int], sets: list[list[int]], asks: list[bool], stores: list[bool], percent: int) -> list[tuple[int, int]]:
+def _join(rids: list[int], labels: list[int], sets: list[list[int]], sizes: list[int], asks: list[bool], stores: list[bool], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among the rows of one block; rows of one label count as linked already."""
     parent = list(range(len(rids)))
 
@@ -307,12 +185,12 @@ def _join(rids: list[int], labels: list[int], sets: list[list[int]], asks: list[
             seen[label] = i
     trie, out = Trie(percent), []
     # Rows that are only stored come first and rows that only ask last.
-    order = sorted(range(len(rids)), key=lambda i: (asks[i] + (not stores[i]), len(sets[i]), rids[i]))
+    order = sorted(range(len(rids)), key=lambda i: (asks[i] + (not stores[i]), sizes[i], rids[i]))
     roots: set[int] = set()  # linked groups that have a set in the trie
     for i in order:
         if asks[i]:
             open_ = len(roots) - (find(i) in roots)
-            for j in trie.matches(sets[i]) if open_ else ():
+            for j in trie.matches(sets[i], sizes[i]) if open_ else ():
                 a, b = find(i), find(j)
                 if a != b:
                     out.append((rids[i], rids[j]))
@@ -323,7 +201,7 @@ def _join(rids: list[int], labels: list[int], sets: list[list[int]], asks: list[
                     if not open_:
                         break
         if stores[i]:
-            trie.add(sets[i], i)
+            trie.add(sets[i], sizes[i], i)
             roots.add(find(i))
     return out
 
@@ -331,8 +209,8 @@ def _join(rids: list[int], labels: list[int], sets: list[list[int]], asks: list[
 _LINKS = "a long, b long"
 
 
-def _forest(tasks: DataFrame, classes, percent: int) -> DataFrame:
-    """Links found in each task (task, component, rid, label, asks, stores, set); components of one task are joined one by one."""
+def _forest(tasks: DataFrame, percent: int) -> DataFrame:
+    """Links found in each task (task, component, rid, label, asks, stores, n, set); components of one task are joined one by one."""
 
     def run(table: pa.Table) -> pa.Table:
         component = table.column("component").to_numpy()
@@ -341,15 +219,23 @@ def _forest(tasks: DataFrame, classes, percent: int) -> DataFrame:
         links = []
         for rows in np.split(order, cuts):
             part = table.take(pa.array(rows))
-            sets = [in_order(x, classes.value).tolist() for x in read_sets(part.column("set").combine_chunks())]
-            links += _join(part.column("rid").to_pylist(), part.column("label").to_pylist(), sets, part.column("asks").to_pylist(), part.column("stores").to_pylist(), percent)
+            links += _join(*[part.column(c).to_pylist() for c in ("rid", "label", "set", "n", "asks", "stores")], percent)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
     return tasks.groupBy("task").applyInArrow(run, _LINKS)
 
 
+def ordered_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """(rid, n, set): of (rid, n, set) the sets that share enough n-grams, and of each the shared ones in the global order: by the number of sets, then by hash."""
+    tokens = sets.select("rid", "n", F.explode("set").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    # The n-grams of one set: bounded by its document.
+    held = tokens.join(counts, "token").groupBy("rid").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("_c", "token"))).alias("set"))
+    return held.where(F.size("set") * 100 >= F.col("n") * percent).select("rid", "n", F.transform("set", lambda x: x["token"]).alias("set"))
+
+
 def link_sets(sets: DataFrame, percent: int = 85) -> DataFrame:
-    """Links (a, b) between the rows of ``sets`` (rid, n, set): a spanning forest of every linked group.
+    """Links (a, b) between the rows of ``sets`` (rid, n, set in the global order): a spanning forest of every linked group.
 
     Sets must differ from each other.  Candidates are found by the first
     n-grams in the global order, candidate components joined by tries.  A
@@ -359,18 +245,10 @@ def link_sets(sets: DataFrame, percent: int = 85) -> DataFrame:
     inside the largest group are linked already, so no link is lost.
     """
     spark = sets.sparkSession
-    classes = spark.sparkContext.broadcast(classes_of(sets))
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_bytes(batches, 1, 4 << 20):
-            heads = [in_order(x, classes.value)[: len(x) - need(len(x), percent) + 1] for x in read_sets(part.column(1))]
-            if heads:
-                rid = np.repeat(part.column(0).to_numpy(), [len(x) for x in heads])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(rid)], names=["token", "rid"])
-
-    heads = written(sets.select("rid", "set").mapInArrow(first, "token long, rid long"), "jaccard-heads")
-    hubs = heads.groupBy("token").agg(F.min("rid").alias("hub"), F.max("rid").alias("_last")).where("hub <> _last")
-    edges = heads.join(hubs.select("token", "hub"), "token").where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct()
+    # A set's own n-grams come first in the order and are in no other set.
+    first = F.size("set") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    heads = written(sets.select("rid", F.explode(F.slice("set", 1, F.greatest(first, F.lit(0)))).alias("token")), "jaccard-heads")
+    edges = heads.join(_shared(heads), "token").where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct()
     groups = components(edges).withColumnRenamed("node", "rid")
     held = sets.join(groups, "rid")
     sizes = held.groupBy("component").agg(F.sum("n").alias("_n"))
@@ -378,25 +256,28 @@ def link_sets(sets: DataFrame, percent: int = 85) -> DataFrame:
     tasks = 4 * shuffle_partitions(spark)
     one = held.where("_blocks = 1").withColumn("task", F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("string"))
     many = held.where("_blocks > 1")
-    full = [F.lit(True).alias("asks"), F.lit(True).alias("stores")]
-    links = _forest(one.select("task", "component", "rid", F.col("rid").alias("label"), *full, "set"), classes, percent)
+    row = lambda task, label, asks, stores: [task, "component", "rid", label, F.lit(asks).alias("asks"), F.lit(stores).alias("stores"), "n", "set"]
+    links = _forest(one.select(row("task", F.col("rid").alias("label"), True, True)), percent)
     if many.take(1):
         block = F.pmod(F.xxhash64("rid"), F.col("_blocks"))
-        name = lambda b: F.concat_ws(":", "component", b.cast("string"))
-        own = many.select(name(block).alias("task"), "component", "rid", F.col("rid").alias("label"), *full, "set")
+        name = lambda b: F.concat_ws(":", "component", b.cast("string")).alias("task")
+        own = many.select(row(name(block), F.col("rid").alias("label"), True, True))
         every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-        hub = many.where("rid = component").withColumn("_b", every).where(F.col("_b") != block).select(name(F.col("_b")).alias("task"), "component", "rid", F.col("rid").alias("label"), F.lit(True).alias("asks"), F.lit(False).alias("stores"), "set")
-        inner = written(_forest(own.unionByName(hub), classes, percent), "jaccard-links")
+        hub = many.where("rid = component").withColumn("_b", every).where(F.col("_b") != block).select(row(name(F.col("_b")), F.col("rid").alias("label"), True, False))
+        inner = written(_forest(own.unionByName(hub), percent), "jaccard-links")
         labels = components(inner)
         named = many.join(labels.select(F.col("node").alias("rid"), F.col("component").alias("_label")), "rid", "left").withColumn("label", F.coalesce("_label", "rid")).drop("_label")
         most = named.groupBy("component", "label").agg(F.count(F.lit(1)).alias("_c")).groupBy("component").agg(F.max(F.struct("_c", "label")).alias("_m")).select("component", F.col("_m.label").alias("_main"))
         named = written(named.join(most, "component"), "jaccard-named")
-        data = named.select(name(block).alias("task"), "component", "rid", "label", F.lit(False).alias("asks"), F.lit(True).alias("stores"), "set")
-        asking = named.where("label <> _main").withColumn("_b", every).select(name(F.col("_b")).alias("task"), "component", "rid", "label", F.lit(True).alias("asks"), F.lit(False).alias("stores"), "set")
-        links = links.unionByName(inner).unionByName(_forest(data.unionByName(asking), classes, percent))
+        data = named.select(row(name(block), "label", False, True))
+        asking = named.where("label <> _main").withColumn("_b", every).select(row(name(F.col("_b")), "label", True, False))
+        links = links.unionByName(inner).unionByName(_forest(data.unionByName(asking), percent))
     return links
 
 
+_MADE = ("n_shingles", "component_id", "text_key")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Linked groups of documents: ``key``, ``keep``, n_shingles, component_id and text_key (xxhash64 of the text).
 
@@ -406,40 +287,49 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     and empty texts have no n-grams and are linked with nothing: their
     component is their own key.  A null key is a row like any other, and a
     group of null keys only has a null component.  Repeated rows are copies.
+    A kept column with the name of one made here, or of the key, gives way to it.
     """
-    named = docs.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_k_{c}") for c in keep], F.xxhash64(text).alias("_text_key"), F.col(text).alias("_text"))
-    kept = ("_key", *[f"_k_{c}" for c in keep], "_text_key")
-    info = written(count_shared(named, kept, "_text", lambda column: sets_of(column, size)), "jaccard-documents")
-    groups = info.where("n > 0").groupBy("print").agg(F.min("_key").alias("least"), F.min(F.struct("_key", "_text_key")).alias("rep"), F.max("n").alias("n"), F.max("shared").alias("shared"))
-    groups = written(groups.select(F.monotonically_increasing_id().alias("rid"), "print", "least", F.col("rep._key").alias("rep_key"), F.col("rep._text_key").alias("rep_text"), "n", "shared"), "jaccard-sets")
-    left = groups.where(F.col("shared") * 100 >= F.col("n") * percent).select("rid", "rep_key", "rep_text")
-    texts = named.join(left, F.col("_text_key").eqNullSafe(F.col("rep_text")) & F.col("_key").eqNullSafe(F.col("rep_key"))).select("rid", "_text")
-
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_bytes(batches, 1, 3 << 20):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets_of(part.column(1), size)], pa.binary())], names=["rid", "set"])
-
-    sets = written(texts.mapInArrow(store, "rid long, set binary"), "jaccard-values")
-    again = written(count_shared(sets, ("rid",), "set", read_sets), "jaccard-again").where(F.col("shared") * 100 >= F.col("n") * percent)
-    linked = components(link_sets(written(sets.join(again.select("rid", "n"), "rid"), "jaccard-left"), percent))
+    keep = passed(keep, (key, *_MADE))
+    names = tuple(f"_k_{i}" for i in range(len(keep)))
+    named = docs.select(F.col(key).alias("_key"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.xxhash64(text).alias("_text_key"), F.col(text).alias("_text"))
+    info = written(describe(named, size, percent, "_text", ("_key", *names, "_text_key")), "jaccard-documents")
+    once = F.first(F.when(F.size("head") > 0, F.col("head")), ignorenulls=True)
+    groups = info.where("n > 0").groupBy("print").agg(F.min("_key").alias("least"), F.min(F.struct("_key", "_text_key")).alias("rep"), F.max("n").alias("n"), once.alias("head"))
+    groups = written(groups.select(F.monotonically_increasing_id().alias("rid"), "print", "least", F.col("rep._key").alias("rep_key"), F.col("rep._text_key").alias("rep_text"), "n", "head"), "jaccard-sets")
+
+    heads = groups.select("rid", F.explode("head").alias("token"))
+    found = heads.join(_shared(heads), "token", "left_semi").groupBy("rid").agg(F.count(F.lit(1)).alias("_c"))
+    enough = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / SLACK))
+    left = written(groups.select("rid", "rep_key", "rep_text", "n").join(found, "rid").where(F.col("_c") >= enough).drop("_c"), "jaccard-left")
+    texts = named.join(left, F.col("_text_key").eqNullSafe(F.col("rep_text")) & F.col("_key").eqNullSafe(F.col("rep_key"))).select("rid", "n", "_text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_bytes(batches, 2, 3 << 20):
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], _lists(sets_of(part.column(2), size))], names=["rid", "n", "set"])
+
+    # Rows that repeat key and text stand for one set.
+    sets = written(texts.dropDuplicates(["rid"]).mapInArrow(read, "rid long, n long, set array<long>"), "jaccard-values")
+    linked = components(link_sets(written(ordered_sets(sets, percent), "jaccard-ordered"), percent))
     whole = groups.join(linked.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     whole = written(whole.select("print", "component", "least"), "jaccard-groups")
     least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
     final = whole.join(least, "component").select("print", "component_id")
     joined = info.join(final, "print", "left")
-    return joined.select(F.col("_key").alias(key), *[F.col(f"_k_{c}").alias(c) for c in keep], F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("_key")).otherwise(F.col("component_id")).alias("component_id"), F.col("_text_key").alias("text_key"))
+    forget(groups, left, sets)
+    return joined.select(F.col("_key").alias(key), *[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("_key")).otherwise(F.col("component_id")).alias("component_id"), F.col("_text_key").alias("text_key"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each linked group the row with the smallest key stays.
 
     Rows without n-grams all stay, except that rows equal in key and text
-    count as one.  Null keys come first.
+    count as one.  Null keys come first.  Other columns may have any names.
     """
-    found = near_duplicates(docs, size, percent, text, key)
-    alone = F.when(F.col("n_shingles") == 0, F.struct(F.col(key).alias("a"), F.col("text_key").alias("b")))
-    stay = found.groupBy("component_id", alone.alias("alone")).agg(F.min(F.struct(F.col(key).alias("a"), F.col("text_key").alias("b"))).alias("first"))
-    stay = stay.select(F.col("first.a").alias("_stay_key"), F.col("first.b").alias("_stay_text"))
-    own = docs.withColumn("_stay_hash", F.xxhash64(text))
-    kept = own.join(stay, F.col(key).eqNullSafe(F.col("_stay_key")) & (F.col("_stay_hash") == F.col("_stay_text")), "left_semi")
-    return kept.dropDuplicates([key, "_stay_hash"]).select(*docs.columns)
+    columns = [F.col(c).alias(f"_c_{i}") for i, c in enumerate(docs.columns)]
+    found = near_duplicates(docs.select(F.col(text).alias("_t"), F.col(key).alias("_d")), size, percent, "_t", "_d")
+    row = F.struct(F.col("_d").alias("a"), F.col("text_key").alias("b"))
+    stay = found.groupBy("component_id", F.when(F.col("n_shingles") == 0, row).alias("_alone")).agg(F.min(row).alias("_first"))
+    stay = stay.select(F.col("_first.a").alias("_stay_key"), F.col("_first.b").alias("_stay_text"))
+    own = docs.select(*columns, F.col(key).alias("_d"), F.xxhash64(text).alias("_h"))
+    kept = own.join(stay, F.col("_d").eqNullSafe(F.col("_stay_key")) & (F.col("_h") == F.col("_stay_text")), "left_semi")
+    return kept.dropDuplicates(["_d", "_h"]).select([F.col(f"_c_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -175,10 +175,9 @@ def variants(rng, words, n):
         yield " ".join(w)
 
 
-@pytest.mark.parametrize("block", [jaccard.BLOCK, 300])
+@pytest.mark.parametrize("block", [2_000_000, 300])
 def test_jaccard_components(spark, block, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "CHUNK", 2000)
     rng = random.Random(4)
     shared = [f"p{i}" for i in range(40)]
     texts = list(ODD)
@@ -195,13 +194,15 @@ def test_jaccard_components(spark, block, monkeypatch):
 def test_trie_finds_every_pair():
     rng = random.Random(6)
     for percent in (50, 80, 85, 100):
-        sets = [sorted(rng.sample(range(25), rng.randint(1, 25))) for _ in range(150)]
+        # A few n-grams of each set are its own: only their number is given.
+        sets = [(sorted(rng.sample(range(25), rng.randint(1, 25))), rng.choice([0, 0, 1, 3])) for _ in range(150)]
         trie = jaccard.Trie(percent)
-        for i, s in enumerate(sets):
-            trie.add(s, i)
-        for s in sets:
+        for i, (s, own) in enumerate(sets):
+            trie.add(s, len(s) + own, i)
+        for k, (s, own) in enumerate(sets):
             a = set(s)
-            assert sorted(trie.matches(s)) == [i for i, b in enumerate(sets) if 100 * len(a & set(b)) >= percent * len(a | set(b))]
+            linked = {i for i, (b, other) in enumerate(sets) if 100 * len(a & set(b)) >= percent * (len(a | set(b)) + own + other)}
+            assert set(trie.matches(s, len(s) + own)) - {k} == linked - {k}
 
 
 def test_keep_one(spark):
@@ -214,6 +215,18 @@ def test_keep_one(spark):
     assert jaccard.keep_one(docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_read_once(spark, monkeypatch):
+    """Ten thousand repeats of a row and a near copy of it: one set for each text."""
+    long = " ".join(f"w{i}" for i in range(60))
+    docs = spark.range(10_000).select(F.lit(1).alias("doc_id"), F.lit(long).alias("text")).union(spark.createDataFrame([(2, long + " x")], "doc_id int, text string"))
+    seen = []
+    monkeypatch.setattr(jaccard, "written", lambda df, name, real=jaccard.written: seen.append((name, real(df, name))) or seen[-1][1])
+    monkeypatch.setattr(jaccard, "forget", lambda *tables: None)
+    got = jaccard.near_duplicates(docs).groupBy("component_id").count().collect()
+    assert [tuple(r) for r in got] == [(1, 10_001)]
+    assert {name: df.count() for name, df in seen if name in ("jaccard-sets", "jaccard-left", "jaccard-values", "jaccard-ordered")} == dict.fromkeys(("jaccard-sets", "jaccard-left", "jaccard-values", "jaccard-ordered"), 2)
+
+
 def test_secrets(spark):
     key = "Ab3dEfGh1jKlMn0pQrStUv"
     texts = [None, "", "é password = 'hunter2hunter2' AKIA" + "A" * 12, "token=short token: " + "f" * 32, f"x {key} y", f"z {key}", "q Zz9" + "yX8" * 8, "Password: secret: abcdefghij", "apikey=" + "1" * 50_000]
