@@ -165,12 +165,12 @@ def _quadratic(prefix: str = "v", unit: float = UNIT) -> Column:
     return total
 
 
-_SCALES = "g string, median array<double>, mad array<double>"
+_SCALES = "g string, n long, median array<double>, mad array<double>"
 _PARAMS = "g string, start int, center array<double>, cov array<double>, precision array<double>, logdet double, settled boolean"
 
 
 def _scales(points: DataFrame) -> DataFrame:
-    """Coordinate-wise medians and MADs of each group, from a histogram of the whole-number coordinates.
+    """Sizes, coordinate-wise medians and MADs of each group, from a histogram of the whole-number coordinates.
 
     A MAD counts at least a tenth of the standard deviation, and a unit.
     """
@@ -190,7 +190,7 @@ def _scales(points: DataFrame) -> DataFrame:
             mean = (v * n).sum() / n.sum()
             deviation = np.sqrt(((v - mean) ** 2 * n).sum() / n.sum())
             scale[i] = max(1.4826 * median(np.abs(v - center[i]), n), deviation / 10, 1 / UNIT)
-        return pd.DataFrame({"g": rows["g"].iloc[:1], "median": [center.tolist()], "mad": [scale.tolist()]})
+        return pd.DataFrame({"g": rows["g"].iloc[:1], "n": [int(n.sum())], "median": [center.tolist()], "mad": [scale.tolist()]})
 
     return flat.groupBy("g").applyInPandas(run, _SCALES)
 
@@ -202,9 +202,10 @@ def _scaled(points: DataFrame, scales: DataFrame) -> DataFrame:
     return points.join(scales, "g").select("g", *[F.greatest(-most, F.least(most, x)).cast("long").alias(f"u{i}") for i, x in enumerate(steps)])
 
 
-def _moments(points: DataFrame, params: DataFrame, distance: Column) -> DataFrame:
-    """Counts, sums and products by group, start and binned distance: partly summed before the shuffle."""
-    far = points.join(params, "g").withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.log2(1 + 16 * distance) * 96)).cast("int"))
+def _moments(points: DataFrame, params: DataFrame, distance: Column, most: float | None = None) -> DataFrame:
+    """Counts, sums and products by group, start and binned distance (up to ``most``): partly summed before the shuffle."""
+    near = points.join(params, "g")
+    far = (near if most is None else near.where(distance <= most)).withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.log2(1 + 16 * distance) * 96)).cast("int"))
     sums = [F.sum(f"u{i}").alias(f"s{i}") for i in range(DIMS)]
     products = [F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"p{i}_{j}") for i in range(DIMS) for j in range(i, DIMS)]
     return far.groupBy("g", "start", "bin").agg(F.max("logdet").alias("before"), F.count(F.lit(1)).alias("n"), *sums, *products)
@@ -274,13 +275,11 @@ def estimates(points: DataFrame, share: float = 0.75, steps: int = 20) -> DataFr
         every = every.unionByName(more)
     best = every.groupBy("g").agg(F.min(F.struct("logdet", "start", "center", "precision")).alias("b")).select("g", F.col("b.start").alias("start"), "b.center", "b.precision", "b.logdet")
     best = written(best, "mcd-best")
-    near = scaled.join(best, "g").where(_quadratic("u", STEPS) <= chi2(0.975, DIMS)).select(*scaled.columns)
-    again = _concentrate(_moments(near, best, F.lit(0.0)), 1.0, 0.975 / _chi2_below(chi2(0.975, DIMS), DIMS + 2))
-    sizes = points.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    again = _concentrate(_moments(scaled, best, _quadratic("u", STEPS), chi2(0.975, DIMS)), 1.0, 0.975 / _chi2_below(chi2(0.975, DIMS), DIMS + 2))
     # Back from MADs.
     center = F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda i: F.col("median")[i] + F.col("mad")[i] * F.col("center")[i])
     cov = F.transform(F.sequence(F.lit(0), F.lit(DIMS * DIMS - 1)), lambda i: F.col("cov")[i] * F.col("mad")[F.floor(i / DIMS).cast("int")] * F.col("mad")[i % DIMS])
-    return written(again.join(scales, "g").join(sizes, "g").select("g", "n", center.alias("center"), cov.alias("cov")), "mcd-estimates")
+    return written(again.join(scales, "g").select("g", "n", center.alias("center"), cov.alias("cov")), "mcd-estimates")
 
 
 def _chi2_below(x: float, d: int) -> float:
@@ -308,7 +307,8 @@ def fit(stats: DataFrame) -> DataFrame:
     once = stats.where("not base_failed").select("_lang", "_source", "_text_key", *[f"v{i}" for i in range(DIMS)]).dropDuplicates(["_lang", "_source", "_text_key"])
     fine, mid, all_ = _levels()
     found = estimates(once.select(F.explode(F.array(fine, mid, all_)).alias("g"), *[f"v{i}" for i in range(DIMS)]))
-    groups = once.select(fine.alias("g"), mid.alias("g1"), all_.alias("g2")).distinct()
+    # Made of a column, so that the join with the estimate of all stays one by key.
+    groups = once.select(fine.alias("g"), mid.alias("g1")).distinct().withColumn("g2", F.concat(F.substring("g", 1, 1), F.lit("]")))
     for k in ("1", "2"):
         groups = groups.join(found.select(F.col("g").alias(f"g{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("n", "center", "cov")]), f"g{k}")
 
