@@ -12,7 +12,8 @@ where it is 0.  A text is read left to right from the state after an end.
 The counts are too many to send to each task.  Chunks of texts ask ranges of
 n-gram hashes for the counts of just their n-grams; each range sums what the
 chunks report and answers; then each chunk has its part of the automaton and
-traverses its texts.
+traverses its texts.  The number of ranges follows the size of all texts, so
+that neither a range nor a chunk grows with it.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import by_bytes, shuffle_partitions
+from heronlake.llm.common import by_bytes, passed
 from heronlake.llm.tokenhash import buffer, combine, pack, pack_sorted, unpack, unpack_sorted, word_hashes, word_spans
 
-#: Tokens of a chunk.
-CHUNK = 1_500_000
+#: Tokens of a chunk, and tokens of a text that are read at a stretch.
+CHUNK, STRETCH = 1_500_000, 256
+#: Bytes of text for a range of n-gram hashes, and for a task that reads chunks.
+RANGE_BYTES, TASK_BYTES = 8 << 20, 20 << 20
 #: The hash of the token that ends a text; words can't have it but by chance.
 END = np.uint64(0x243F6A8885A308D3)
 
@@ -163,58 +166,101 @@ def _serve(table: pa.Table) -> pa.Table:
 
 
 class Automaton:
-    """The part of the backoff automaton that the texts of a chunk pass through.
+    """The part of the backoff automaton that the texts of a chunk can meet.
 
     ``ids[k]`` numbers the (k+1)-gram that ends at each token, ``counts[k]``
-    holds the training count of each number.  A history of k tokens with a
-    count is a state; the state before a text (``ends`` texts were trained on)
-    stands last among the histories of each length, and the empty history is
-    state 0.  ``arcs[k]`` are the log10 weights of the arcs that leave histories
-    of k tokens, ``failures[k - 1]`` those of the failure arcs to the next shorter one.
+    holds the training count of each number.  State 0 is the empty history.
+    Histories of k tokens are numbered from ``base[k]`` on: those of the chunk,
+    and last the one before a text (``ends`` texts were trained on).  Those
+    with a count are reached.  An arc leaves a state by a word, with a log10
+    weight, for the longest history that the word leaves behind; the failure
+    arc of a state leads to its next shorter history.
     """
 
     def __init__(self, ids: list[np.ndarray], counts: list[np.ndarray], begin: np.ndarray, ends: int, types: int, tokens: int, mu: tuple[float, ...]):
-        self.ids, self.counts = ids, counts
-        p = (counts[0] + 1.0) / (tokens + types + 1.0)
-        self.arcs, self.failures, self.states, self.before = [np.log10(p)], [], [], []
-        for k in range(1, len(ids)):
-            before = np.full(len(ids[0]), -1, dtype=np.int64)
-            before[1:] = ids[k - 1][:-1]
-            before[begin[:-1]] = -1
-            held = np.append(counts[k - 1], float(ends))
-            # Any place of an n-gram tells its history and its shorter n-gram.
+        self.words, self.order, self.types = ids[0].astype(np.int64), len(ids), len(counts[0])
+        base = np.concatenate([[0, 1], 1 + np.cumsum([len(c) + 1 for c in counts[: self.order - 1]])]).astype(np.int64)
+        self.start = int(base[-1]) - 1
+        self.failure, self.lost = np.zeros(int(base[-1]), dtype=np.int64), np.zeros(int(base[-1]))
+        keys, weights, targets = [], [], []
+        p = None
+        for k in range(self.order):
+            # Any place of a (k+1)-gram tells its history, its word and its shorter n-grams.
             place = np.empty(len(counts[k]), dtype=np.int64)
             place[ids[k]] = np.arange(len(ids[k]))
-            p = (counts[k] + mu[k - 1] * p[ids[k - 1][place]]) / (held[before[place]] + mu[k - 1])
-            self.arcs.append(np.log10(p))
-            self.failures.append(np.log10(mu[k - 1] / (held + mu[k - 1])))
-            self.states.append(held > 0)
-            self.before.append(before)
-
-    def traverse(self) -> np.ndarray:
-        """log10 probability of each token, read left to right in every text.
-
-        The state carried to a token is the longest history that is one: a
-        suffix of what was read, and so known for all tokens at once.  From
-        there each token follows failure arcs, adding their weights, until its
-        state has an arc for it; the empty history has one for every token.
+            if k == 0:
+                source = np.zeros(len(place), dtype=np.int64)
+                p = (counts[0] + 1.0) / (tokens + types + 1.0)
+                seen = np.ones(len(place), dtype=bool)
+            else:
+                before = np.full(len(ids[0]), len(counts[k - 1]), dtype=np.int64)
+                before[1:] = ids[k - 1][:-1]
+                before[begin[:-1]] = len(counts[k - 1])
+                source = base[k] + before[place]
+                held = np.append(counts[k - 1], float(ends))
+                p = (counts[k] + mu[k - 1] * p[ids[k - 1][place]]) / (held[before[place]] + mu[k - 1])
+                seen = counts[k] > 0
+                own = slice(int(base[k]), int(base[k + 1]))
+                self.lost[own] = np.log10(mu[k - 1] / (held + mu[k - 1]))
+                if k > 1:
+                    shorter = np.empty(len(held), dtype=np.int64)
+                    shorter[ids[k - 1]] = ids[k - 2]
+                    shorter[-1] = len(counts[k - 2])
+                    self.failure[own] = base[k - 1] + shorter
+            # The longest history that a word leaves behind has order - 1 tokens; an unseen word leaves none.
+            left = base[k + 1] + np.arange(len(place)) if k + 1 < self.order else base[k] + ids[k - 1][place] if k else np.zeros(len(place), dtype=np.int64)
+            targets.append(np.where(counts[k] > 0, left, 0)[seen])
+            keys.append((source * self.types + self.words[place])[seen])
+            weights.append(np.log10(p)[seen])
+        every = np.concatenate(keys)
+        sort = np.argsort(every, kind="stable")
+        self.keys, self.weights, self.targets = every[sort], np.concatenate(weights)[sort], np.concatenate(targets)[sort]
+        self.unigram = np.log10((counts[0] + 1.0) / (tokens + types + 1.0))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log10 probability of a word after each state, and the state that follows: failure arcs are taken until a state has an arc for the word."""
+        gained = np.zeros(len(state))
+        state, open_ = state.copy(), np.arange(len(state))
+        while len(open_):
+            key = state[open_] * self.types + word[open_]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            found, at = open_[hit], at[hit]
+            gained[found] += self.weights[at]
+            state[found] = self.targets[at]
+            open_ = open_[~hit]
+            gained[open_] += self.lost[state[open_]]
+            state[open_] = self.failure[state[open_]]
+        return gained, state
+
+    def traverse(self, begin: np.ndarray) -> np.ndarray:
+        """log10 probability of each text, read left to right with the state carried from token to token.
+
+        Many texts take a step together.  A long text is read at stretches of
+        STRETCH tokens side by side: as a state holds order - 1 tokens at most,
+        reading these from the empty history on gives a stretch's first state.
         """
-        state = np.zeros(len(self.ids[0]), dtype=np.int8)
-        for k, (before, known) in enumerate(zip(self.before, self.states, strict=True), 1):
-            state[known[before]] = k
-        out = np.zeros(len(state))
-        for k in range(len(self.before), 0, -1):
-            at = np.flatnonzero(state == k)
-            grams = self.ids[k][at]
-            arc = self.counts[k][grams] > 0
-            out[at[arc]] += self.arcs[k][grams[arc]]
-            state[at[arc]] = -1
-            lost = at[~arc]
-            out[lost] += self.failures[k - 1][self.before[k - 1][lost]]
-            state[lost] = k - 1
-        at = np.flatnonzero(state == 0)
-        out[at] += self.arcs[0][self.ids[0][at]]
-        return out
+        length = np.diff(begin)
+        pieces = -(-length // STRETCH)
+        text = np.repeat(np.arange(len(length)), pieces)
+        first = begin[:-1][text] + STRETCH * (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        stop = np.minimum(first + STRETCH, begin[1:][text])
+        order = np.argsort(-(stop - first), kind="stable")
+        text, first, stop = text[order], first[order], stop[order]
+        state = np.full(len(text), self.start, dtype=np.int64)
+        inner = np.flatnonzero(first > begin[:-1][text])
+        state[inner] = 0
+        for back in range(self.order - 1, 0, -1):
+            state[inner] = self.step(state[inner], self.words[first[inner] - back])[1]
+        total = np.zeros(len(text))
+        live = np.searchsorted(-(stop - first), -np.arange(1, STRETCH + 1), side="right")
+        for at, n in enumerate(live[live > 0]):
+            gained, state[:n] = self.step(state[:n], self.words[first[:n] + at])
+            total[:n] += gained
+        return np.bincount(text, weights=total, minlength=len(length))
+
+
+_MADE = (("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"))
 
 
 def score(docs: DataFrame, held_out: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",), order: int = 2, mu: tuple[float, ...] = (100.0, 20.0)) -> DataFrame:
@@ -223,13 +269,17 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", keep: tuple[str
     Result: ``keep``, held_out, n_tokens, n_known, train_tokens, base_score (of
     p_1) and score (of p_order), log10.  Null and empty texts are one end
     token.  A null ``held_out`` counts as false.  Where nothing is left to
-    learn from, every token has probability 1.  ``keep`` may not hold the other names.
+    learn from, every token has probability 1.  A kept column with the name of
+    one made here gives way to it.
     """
-    source = docs.select(*keep, F.coalesce(held_out, F.lit(False)).alias("held_out"), text)
+    keep = passed(keep, tuple(name for name, _ in _MADE))
+    names = tuple(f"_k_{i}" for i in range(len(keep)))
+    source = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("_text"))
     kept = len(keep) + 1
-    parts = max(6, shuffle_partitions(docs.sparkSession) // 2)
-    schema = source.select(*keep, "held_out").schema
-    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")):
+    size = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    parts, tasks = max(6, -(-size // RANGE_BYTES)), max(6, -(-size // TASK_BYTES))
+    schema = source.select(*names).schema
+    for name, kind in _MADE:
         schema = schema.add(name, kind)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +308,10 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", keep: tuple[str
                 ends = int(sums[np.searchsorted(words, END)])
         automaton = Automaton(numbers, counts, begin, ends, types, tokens, mu)
         add = lambda x: np.add.reduceat(x, begin[:-1])
-        found = [pa.array(each, pa.int64()), pa.array(add((counts[0][ids] > 0).astype(np.int64)), pa.int64()), pa.array(np.full(len(each), tokens), pa.int64()), pa.array(add(automaton.arcs[0][ids])), pa.array(add(automaton.traverse()))]
+        found = [pa.array(each, pa.int64()), pa.array(add((counts[0][ids] > 0).astype(np.int64)), pa.int64()), pa.array(np.full(len(each), tokens), pa.int64()), pa.array(add(automaton.unigram[ids])), pa.array(automaton.traverse(begin))]
         return pa.Table.from_arrays([*[header.column(i) for i in range(kept)], *found], names=schema.names)
 
     packed = source.mapInArrow(ask, _PACKED_SPARK)
-    return packed.groupBy("part").applyInArrow(_serve, _PACKED_SPARK).groupBy("chunk").applyInArrow(answer, schema)
+    served = packed.repartition(parts, "part").groupBy("part").applyInArrow(_serve, _PACKED_SPARK)
+    scored = served.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(answer, schema)
+    return scored.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *[name for name, _ in _MADE])
