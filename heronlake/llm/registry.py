@@ -40,10 +40,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     owner = F.substring_index("source", "/", 1)
     found = secrets.scan_owned(table(spark, sf_dir, "documents"), F.col("source"), owner)
-    base = F.filter("spans", lambda s: s["kind"] != "owned")
+    base = F.filter("spans", lambda s: ~s["kind"].isin("owned", "shared"))
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
-    return found.select("doc_id", *counts, F.sha2(secrets.digest(base).cast("binary"), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(secrets.digest(base).cast("binary"), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda s: s["status"]), ",").alias("statuses"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,14 +109,14 @@ JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m ON
 
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?"""
 _SECRET_SQL = rf"""
-WITH d AS (SELECT doc_id, coalesce(split_part(source, '/', 1), chr(0)) AS owner, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS repo, coalesce(split_part(source, '/', 1), chr(0)) AS owner, coalesce(text, '') AS t FROM documents),
 m AS (
-  SELECT doc_id, owner, 'assign' AS kind, 1 AS rank, regexp_extract_all(t, '{_ASSIGN}[A-Za-z0-9+/_.=-]+') AS ms, regexp_split_to_array(t, '{_ASSIGN}[A-Za-z0-9+/_.=-]+') AS ps FROM d
-  UNION ALL SELECT doc_id, owner, 'access', 2, regexp_extract_all(t, 'AKIA[A-Z0-9]{{12,}}'), regexp_split_to_array(t, 'AKIA[A-Z0-9]{{12,}}') FROM d
-  UNION ALL SELECT doc_id, owner, 'hex', 3, regexp_extract_all(t, '[0-9a-f]{{32,}}'), regexp_split_to_array(t, '[0-9a-f]{{32,}}') FROM d
-  UNION ALL SELECT doc_id, owner, 'owned', 4, regexp_extract_all(t, '[A-Za-z0-9+/_=-]{{20,}}'), regexp_split_to_array(t, '[A-Za-z0-9+/_=-]{{20,}}') FROM d),
+  SELECT doc_id, repo, owner, 'assign' AS kind, 1 AS rank, regexp_extract_all(t, '{_ASSIGN}[A-Za-z0-9+/_.=-]+') AS ms, regexp_split_to_array(t, '{_ASSIGN}[A-Za-z0-9+/_.=-]+') AS ps FROM d
+  UNION ALL SELECT doc_id, repo, owner, 'access', 2, regexp_extract_all(t, 'AKIA[A-Z0-9]{{12,}}'), regexp_split_to_array(t, 'AKIA[A-Z0-9]{{12,}}') FROM d
+  UNION ALL SELECT doc_id, repo, owner, 'hex', 3, regexp_extract_all(t, '[0-9a-f]{{32,}}'), regexp_split_to_array(t, '[0-9a-f]{{32,}}') FROM d
+  UNION ALL SELECT doc_id, repo, owner, 'owned', 4, regexp_extract_all(t, '[A-Za-z0-9+/_=-]{{20,}}'), regexp_split_to_array(t, '[A-Za-z0-9+/_=-]{{20,}}') FROM d),
 f AS (
-  SELECT doc_id, owner, kind, rank, ms[i] AS v,
+  SELECT doc_id, repo, owner, kind, rank, ms[i] AS v,
     CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS b
   FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m)),
 c AS (SELECT *, b + length(v) AS e, CASE kind WHEN 'assign' THEN regexp_extract(v, '^{_ASSIGN}([A-Za-z0-9+/_.=-]+)$', 1) ELSE v END AS secret FROM f),
@@ -125,10 +125,11 @@ o AS (
   SELECT * FROM g WHERE kind <> 'owned'
   UNION ALL SELECT * FROM g x WHERE kind = 'owned' AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')
     AND NOT EXISTS (SELECT 1 FROM g y WHERE y.doc_id = x.doc_id AND y.kind <> 'owned' AND y.b < x.e AND x.b < y.e)),
-w AS (SELECT secret, count(DISTINCT owner) AS owners FROM o GROUP BY secret),
-k AS (SELECT o.*, concat_ws(':', kind, b, e) AS s FROM o JOIN w USING (secret) WHERE kind <> 'owned' OR owners <= 1)
+w AS (SELECT secret, CASE WHEN count(DISTINCT owner) <= 1 THEN 'owned' WHEN count(DISTINCT owner) >= 3 OR count(DISTINCT repo) >= 5 THEN 'copied' ELSE 'shared' END AS status FROM o GROUP BY secret),
+k AS (SELECT o.*, status, concat_ws(':', CASE kind WHEN 'owned' THEN status ELSE kind END, b, e) AS s FROM o JOIN w USING (secret) WHERE kind <> 'owned' OR status <> 'copied')
 SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
-  sha256(coalesce(string_agg(s, ',' ORDER BY b, rank) FILTER (kind <> 'owned'), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY b, rank), '') AS spans
+  sha256(coalesce(string_agg(s, ',' ORDER BY b, rank) FILTER (kind <> 'owned'), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY b, rank), '') AS spans,
+  coalesce(string_agg(status, ',' ORDER BY b, rank), '') AS statuses
 FROM d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id
 """
 

@@ -234,10 +234,16 @@ def test_secrets(spark):
     found = by_id(secrets.scan_owned(frame(spark, texts, source=source), F.col("source"), F.substring_index("source", "/", 1)).select("doc_id", secrets.digest(F.col("spans")).alias("d")))
     got = [found[i]["d"] for i in range(len(texts))]
     assert got[:2] == ["", ""] and got[2] == "assign:2:28,access:30:46" and got[3] == "assign:12:51,hex:19:51"
-    # The same key at two owners is no one's own; another one is.
-    assert got[4] == got[5] == "" and got[6] == "owned:2:29" and got[7] == "" and got[8] == "assign:0:50007,hex:7:50007"
+    # The same key at two owners is shared; another one is its owner's.
+    assert (got[4], got[5]) == ("shared:2:24", "shared:2:24") and got[6] == "owned:2:29" and got[7] == "" and got[8] == "assign:0:50007,hex:7:50007"
     masked = by_id(secrets.mask_owned(frame(spark, texts, source=source), F.col("source"), F.substring_index("source", "/", 1)))
-    assert masked[2]["text"] == "é [SECRET]' [SECRET]" and masked[3]["text"] == "token=short [SECRET]" and masked[0]["text"] is None and masked[4]["text"] == texts[4]
+    assert masked[2]["text"] == "é [SECRET]' [SECRET]" and masked[3]["text"] == "token=short [SECRET]" and masked[0]["text"] is None and masked[4]["text"] == "x [SECRET] y"
+    # At three owners it is copied, and so in five repositories of two owners.
+    for source in (["a/r", "b/r", "c/r", "c/r", "c/s"], ["a/1", "a/2", "a/3", "b/1", "b/2"]):
+        rows = secrets.scan_owned(frame(spark, [f"k {key}", f"password={key}", *[key] * 3], source=source), F.col("source"), F.substring_index("source", "/", 1))
+        assert [[(s["kind"], s["status"]) for s in r["spans"]] for r in sorted(rows.collect(), key=lambda r: r["doc_id"])] == [[], [("assign", "copied")], [], [], []]
+    one = secrets.scan_owned(frame(spark, [key] * 6, source=[f"a/{i}" for i in range(6)]), F.col("source"), F.substring_index("source", "/", 1))
+    assert {(s["kind"], s["n_repos"], s["n_owners"]) for r in one.collect() for s in r["spans"]} == {("owned", 6, 1)}
     assert secrets.scan_owned(frame(spark, ["x"]).limit(0), F.col("source"), F.col("source")).count() == 0
 
 
@@ -305,6 +311,7 @@ def test_bpe(spark, monkeypatch):
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_lm(spark, order, monkeypatch):
     monkeypatch.setattr(lm, "CHUNK", 150)
+    monkeypatch.setattr(lm, "STRETCH", 7)
     rng = random.Random(10)
     texts = ODD + [" ".join(rng.choice("aAbcdefg") for _ in range(rng.randrange(30))) for _ in range(50)]
     out = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
