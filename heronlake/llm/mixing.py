@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import written
+from heronlake.llm.common import forget, passed, written
 
 #: Rows of one size class of a source that one window task may sort.
 CLASS_ROWS = 50_000
@@ -77,16 +77,22 @@ def solve(hist: DataFrame, targets: DataFrame, cap: float = 2.0, rounds: int = 6
         state = written(step.withColumn("dual", F.when(done, F.col("dual")).when(inside, newton).otherwise(middle)).drop("slope"), "mix-duals")
         if not state.where(F.abs("miss") > F.lit(tolerance) * F.col("target")).take(1):
             break
+    else:
+        raise RuntimeError(f"some source misses its target after {rounds} Newton steps")
     return state.select("source", "mean", "dual")
 
 
+_MADE = ("source", "size", "source_size", "target", "rate", "copies")
+
+
 def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: int = 2, trims: int = 4) -> DataFrame:
     """Copies of each document so that every source comes near its token target.
 
     Result: one row for each row of ``docs``: ``keep``, source, size,
     source_size, target, rate (double) and copies (long, at most ``cap``).
     Null sources are one source, the last; null sizes count as 0 and such
-    documents get one copy at rate 1.  Rows that repeat a key are rounded one
+    documents get one copy at rate 1.  A kept column with the name of one made
+    here gives way to it.  Rows that repeat a key are rounded one
     after the other; reruns agree because the order is by size, a hash of the
     key and the key.
 
@@ -95,7 +101,9 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
     rounds each take or add one copy of the document that brings the source
     nearest to its target, if one brings it nearer at all.
     """
-    own = docs.select(*[F.col(c).alias(f"_k_{c}") for c in keep], F.col(source).cast("string").alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), F.xxhash64(key).alias("_h"))
+    keep = passed(keep, _MADE)
+    names = tuple(f"_k_{i}" for i in range(len(keep)))
+    own = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(source).cast("string").alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), F.xxhash64(key).alias("_h"))
     own = written(own.withColumn("_row", F.monotonically_increasing_id()), "mix-sizes")
     hist = written(own.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-histogram")
     by_source = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("source_rows"))
@@ -118,7 +126,7 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
     cells = cells.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_cut").alias("_c"), F.coalesce(F.sum(F.col("_n") * F.col("_r")).over(ahead), F.lit(0.0)).alias("_before"))
     cells = written(cells, "mix-cells")
     placed = rated.join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_cut") == F.col("_c"))).drop("_s", "_z", "_c")
-    rank = F.row_number().over(W.partitionBy("source", "size", "_cut").orderBy("_h", *[F.col(f"_k_{c}") for c in keep], "_row"))
+    rank = F.row_number().over(W.partitionBy("source", "size", "_cut").orderBy("_h", *names, "_row"))
     # A millionth of slack keeps sums of whole rates whole.
     upto = lambda k: F.floor(F.col("_before") + F.col("rate") * k + F.lit(0.5 + 1e-6))
     copies = F.when(F.col("size") == 0, F.lit(1)).when(F.col("rate") >= cap, F.lit(cap)).otherwise(F.least(F.lit(cap), F.greatest(F.lit(0), upto(rank) - upto(rank - 1))))
@@ -137,19 +145,20 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
         change = written(found, "mix-trims")
     if change is not None:
         out = out.join(change, "_row", "left").withColumn("copies", F.col("copies") + F.coalesce("_add", F.lit(0)))
-    return out.select(*[F.col(f"_k_{c}").alias(c) for c in keep], *([] if "source" in keep else ["source"]), "size", "source_size", "target", "rate", F.col("copies").cast("long").alias("copies"))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "source", "size", "source_size", "target", "rate", F.col("copies").cast("long").alias("copies"))
 
 
 def repeat_mixed(docs: DataFrame, size: Column, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` repeated by their copies; rows with 0 copies go.
 
     The mix runs on narrow rows; texts are joined back by their hash, each
-    distinct text once.
+    distinct text once.  Other columns may have any names.
     """
     columns = docs.columns
-    own = docs.withColumn("__text_key", F.xxhash64(text))
-    narrow = tuple(c for c in columns if c != text)
-    mixed = mix(own, size, source, key, (*narrow, "__text_key"), **options).where("copies > 0").select(*narrow, "__text_key", "copies")
-    texts = own.select("__text_key", text).groupBy("__text_key").agg(F.first(text).alias(text))
-    back = mixed.join(texts, "__text_key")
-    return back.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    at = {c: f"_in{i}" for i, c in enumerate(columns)}
+    own = docs.select(*[F.col(c).alias(n) for c, n in at.items()], size.alias("_size"), F.xxhash64(text).alias("_text_key"))
+    narrow = tuple(n for c, n in at.items() if c != text)
+    mixed = mix(own, F.col("_size"), at[source], at[key], (*narrow, "_text_key"), **options).where("copies > 0").select(*narrow, "_text_key", "copies")
+    texts = own.groupBy("_text_key").agg(F.first(at[text]).alias(at[text]))
+    back = mixed.join(texts, "_text_key").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return back.select([F.col(n).alias(c) for c, n in at.items()])
