@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from heronlake.llm.common import by_bytes
+from heronlake.llm.common import by_bytes, passed
 
 RATE = 8000
 FRAME, HOP = 256, 128
@@ -97,7 +97,7 @@ def text_payload(text: str | None) -> tuple[bytes, int]:
 
 def store_texts(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """Add a binary column ``media``: every whole text as a WAV.  Null texts count as empty; a column of that name is replaced."""
-    keep = [c for c in docs.columns if c != media]
+    keep = list(passed(tuple(docs.columns), (media,)))
     source = docs.select(*keep)
     at = keep.index(text)
 
@@ -112,8 +112,10 @@ def store_texts(docs: DataFrame, text: str = "text", media: str = "media") -> Da
 def media_features(media_rows: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Read stored WAVs back: ``keep``, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, fingerprints.
 
-    A null WAV gives null features.  Rows are independent; there is no shuffle.
+    A null WAV gives null features.  A kept column with the name of one made
+    here gives way to it.  Rows are independent; there is no shuffle.
     """
+    keep = passed(keep, ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "fingerprints"))
     source = media_rows.select(*keep, media)
     schema = media_rows.select(*keep).schema
     for name, kind in (("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("fingerprints", T.ArrayType(T.LongType()))):

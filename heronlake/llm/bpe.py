@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from heronlake.llm.common import by_bytes
+from heronlake.llm.common import by_bytes, passed
 
 #: Texts above this many characters are cut at safe boundaries before encoding.
 PIECE_CHARS = 65_536
@@ -74,7 +74,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     Null texts count as empty: no ids.  A column already named ``ids`` is
     replaced.  Rows are independent; there is no shuffle.
     """
-    keep = [c for c in docs.columns if c != ids]
+    keep = list(passed(tuple(docs.columns), (ids,)))
     source = docs.select(*keep)
     schema = docs.select(*keep).schema.add(ids, T.ArrayType(T.IntegerType()))
     at = keep.index(text)
@@ -92,7 +92,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add a binary column ``out`` with the bytes that the ids stand for; null ids give null."""
-    keep = [c for c in docs.columns if c != out]
+    keep = list(passed(tuple(docs.columns), (out,)))
     source = docs.select(*keep)
     at = keep.index(ids)
 
@@ -112,8 +112,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", kee
 
     Result: the columns ``keep``, n_tokens, ids_sha256 (of the ids as
     little-endian unsigned 32-bit integers) and decoded_sha256.  Null texts
-    count as empty.  ``keep`` must not hold those three names.
+    count as empty.  A kept column with one of those three names gives way to it.
     """
+    keep = passed(keep, ("n_tokens", "ids_sha256", "decoded_sha256"))
     source = docs.select(*keep, text)
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 

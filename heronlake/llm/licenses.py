@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronlake.llm.common import by_bytes
+from heronlake.llm.common import by_bytes, passed
 from heronlake.llm.tokenhash import PUNCT, buffer, mix, ngram_hashes, word_hashes, word_spans
 
 SIZE, ROWS, PERCENT = 5, 2, 80
@@ -216,8 +216,10 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     Null and empty texts, and texts of fewer than five words, have none.
     Templates shorter than five words can't be found and are ignored.  The
     templates are a parameter and small, so they go to every task; there is no
-    shuffle, and copies of a text are simply scanned.
+    shuffle, and copies of a text and repeated rows are simply scanned.  A
+    kept column named spans gives way.
     """
+    keep = passed(keep, ("spans",))
     bands = Bands(TEMPLATES if templates is None else templates, percent)
     source = docs.select(*keep, text)
     schema = docs.select(*keep).schema.add("spans", T.ArrayType(SPAN))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import lower_az, written
+from heronlake.llm.common import lower_az, passed, written
 
 BUCKETS = 4096
 SIZES = (3, 4, 5)
@@ -111,10 +111,13 @@ def judge(pages: DataFrame, weights: list[float], rules: list[tuple[str, str]],
     The verdict is the longest fitting rule's, or ``block`` where the model's
     score reaches ``threshold``.  Null URLs and those without ``://`` have an
     empty host and path, no rule, and are judged by the model like any other.
-    Only the columns used are read; there is no shuffle.
+    A kept column with the name of one made here gives way to it.  Only the
+    columns used are read; there is no shuffle.
     """
-    parts = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    keep = passed(keep, ("host", "path", "rule", "verdict", "score"))
+    names = tuple(f"_k_{i}" for i in range(len(keep)))
+    parts = pages.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     scored = parts.withColumns({"rule": rule, "_action": action, "score": score(F.col("host"), F.col("path"), weights)})
     verdict = F.coalesce(F.col("_action"), F.when(F.col("score") >= threshold, "block").otherwise("allow"))
-    return scored.select(*keep, "host", "path", "rule", verdict.alias("verdict"), "score")
+    return scored.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "host", "path", "rule", verdict.alias("verdict"), "score")
