@@ -60,6 +60,11 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished queries, which it does when the driver collects garbage."""
+    spark._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which its user sets by the size of the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronlake.llm.common import by_bytes, forget, passed, shuffle_partitions, written
+from heronlake.llm.common import by_bytes, forget, passed, release, shuffle_partitions, written
 from heronlake.llm.components import components
 from heronlake.llm.tokenhash import buffer, mix, ngram_hashes, word_hashes, word_spans
 
@@ -301,6 +301,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     found = heads.join(_shared(heads), "token", "left_semi").groupBy("rid").agg(F.count(F.lit(1)).alias("_c"))
     enough = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / SLACK))
     left = written(groups.select("rid", "rep_key", "rep_text", "n").join(found, "rid").where(F.col("_c") >= enough).drop("_c"), "jaccard-left")
+    release(docs.sparkSession)
     texts = named.join(left, F.col("_text_key").eqNullSafe(F.col("rep_text")) & F.col("_key").eqNullSafe(F.col("rep_key"))).select("rid", "n", "_text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,13 +310,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
 
     # Rows that repeat key and text stand for one set.
     sets = written(texts.dropDuplicates(["rid"]).mapInArrow(read, "rid long, n long, set array<long>"), "jaccard-values")
-    linked = components(link_sets(written(ordered_sets(sets, percent), "jaccard-ordered"), percent))
+    ordered = written(ordered_sets(sets, percent), "jaccard-ordered")
+    release(docs.sparkSession)
+    linked = components(link_sets(ordered, percent))
     whole = groups.join(linked.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     whole = written(whole.select("print", "component", "least"), "jaccard-groups")
     least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
     final = whole.join(least, "component").select("print", "component_id")
     joined = info.join(final, "print", "left")
-    forget(groups, left, sets)
+    forget(groups, left, sets, ordered)
     return joined.select(F.col("_key").alias(key), *[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("_key")).otherwise(F.col("component_id")).alias("component_id"), F.col("_text_key").alias("text_key"))
 
 
