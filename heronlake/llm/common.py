@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting by which a finished query deletes its shuffle files.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: ASCII white space, the separators of words.
 SPACES = " \t\n\x0b\f\r"
 
@@ -42,11 +44,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     It cuts the lineage: lost executors cost only the running stage, and the
-    size of the table is known to Spark when it plans later joins.
+    size of the table is known to Spark when it plans later joins.  Spark then
+    deletes the shuffle files of the write, which nothing reads again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/heronlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._heronlake_path = path
     return out
@@ -60,11 +68,6 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished queries, which it does when the driver collects garbage."""
-    spark._jvm.System.gc()
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which its user sets by the size of the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronlake.llm.common import by_bytes, forget, passed, release, shuffle_partitions, written
+from heronlake.llm.common import by_bytes, forget, passed, shuffle_partitions, written
 from heronlake.llm.components import components
 from heronlake.llm.tokenhash import buffer, mix, ngram_hashes, word_hashes, word_spans
 
@@ -73,12 +73,12 @@ def _lists(found: list[np.ndarray]) -> pa.ListArray:
 
 
 def describe(docs: DataFrame, size: int, percent: int, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """``keep``, n (set size), print (128-bit fingerprint of the set) and head: the first n-grams by hash, given once for equal sets of a batch.
+    """``keep``, n (set size), print (128-bit fingerprint of the set), mark (48 bits of it) and head: the first n-grams by hash, given once for equal sets of a batch.
 
     Of the o >= need(n) n-grams that a set shares with a linked one, the first
     k stand among its first n - need(n) + k, and so they do in the other set.
     """
-    schema = docs.select(*keep).schema.add("n", "long").add("print", "binary").add("head", T.ArrayType(T.LongType()))
+    schema = docs.select(*keep).schema.add("n", "long").add("print", "binary").add("mark", "long").add("head", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_bytes(batches, len(keep), 3 << 20):
@@ -89,14 +89,14 @@ def describe(docs: DataFrame, size: int, percent: int, text: str, keep: tuple[st
             for x, p in zip(found, prints, strict=True):
                 heads.append(x[:0] if p in seen else x[: len(x) - need(len(x), percent) + max(1, len(x) // SLACK)])
                 seen.add(p)
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array([len(x) for x in found], pa.int64()), pa.array(prints, pa.binary()), _lists(heads)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array([len(x) for x in found], pa.int64()), pa.array(prints, pa.binary()), pa.array([int.from_bytes(p[:6], "big") for p in prints], pa.int64()), _lists(heads)], names=schema.names)
 
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
-def _shared(tokens: DataFrame) -> DataFrame:
+def _shared(tokens: DataFrame, of: str = "rid") -> DataFrame:
     """(token, hub) of the n-grams of (token, rid) that more than one set holds, with the smallest."""
-    return tokens.groupBy("token").agg(F.min("rid").alias("hub"), F.max("rid").alias("_last")).where("hub <> _last").select("token", "hub")
+    return tokens.groupBy("token").agg(F.min(of).alias("hub"), F.max(of).alias("_last")).where("hub <> _last").select("token", "hub")
 
 
 class Trie:
@@ -293,15 +293,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     names = tuple(f"_k_{i}" for i in range(len(keep)))
     named = docs.select(F.col(key).alias("_key"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.xxhash64(text).alias("_text_key"), F.col(text).alias("_text"))
     info = written(describe(named, size, percent, "_text", ("_key", *names, "_text_key")), "jaccard-documents")
-    once = F.first(F.when(F.size("head") > 0, F.col("head")), ignorenulls=True)
-    groups = info.where("n > 0").groupBy("print").agg(F.min("_key").alias("least"), F.min(F.struct("_key", "_text_key")).alias("rep"), F.max("n").alias("n"), once.alias("head"))
-    groups = written(groups.select(F.monotonically_increasing_id().alias("rid"), "print", "least", F.col("rep._key").alias("rep_key"), F.col("rep._text_key").alias("rep_text"), "n", "head"), "jaccard-sets")
+    groups = info.where("n > 0").groupBy("print").agg(F.min("_key").alias("least"), F.min(F.struct("_key", "_text_key")).alias("rep"), F.max("n").alias("n"), F.max("mark").alias("mark"))
+    groups = written(groups.select(F.monotonically_increasing_id().alias("rid"), "print", "least", F.col("rep._key").alias("rep_key"), F.col("rep._text_key").alias("rep_text"), "n", "mark"), "jaccard-sets")
 
-    heads = groups.select("rid", F.explode("head").alias("token"))
-    found = heads.join(_shared(heads), "token", "left_semi").groupBy("rid").agg(F.count(F.lit(1)).alias("_c"))
+    # Copies in several batches only let a set pass that needn't; a link is missed where the marks of both sets agree, once in 2**48.
+    heads = info.select("mark", F.explode("head").alias("token"))
+    found = heads.join(_shared(heads, "mark"), "token", "left_semi").groupBy("mark").agg(F.count(F.lit(1)).alias("_c"))
     enough = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / SLACK))
-    left = written(groups.select("rid", "rep_key", "rep_text", "n").join(found, "rid").where(F.col("_c") >= enough).drop("_c"), "jaccard-left")
-    release(docs.sparkSession)
+    left = written(groups.join(found, "mark").where(F.col("_c") >= enough).select("rid", "rep_key", "rep_text", "n"), "jaccard-left")
     texts = named.join(left, F.col("_text_key").eqNullSafe(F.col("rep_text")) & F.col("_key").eqNullSafe(F.col("rep_key"))).select("rid", "n", "_text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +310,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     # Rows that repeat key and text stand for one set.
     sets = written(texts.dropDuplicates(["rid"]).mapInArrow(read, "rid long, n long, set array<long>"), "jaccard-values")
     ordered = written(ordered_sets(sets, percent), "jaccard-ordered")
-    release(docs.sparkSession)
     linked = components(link_sets(ordered, percent))
     whole = groups.join(linked.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     whole = written(whole.select("print", "component", "least"), "jaccard-groups")
