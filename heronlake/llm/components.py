@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from heronlake.llm.common import forget, written
@@ -25,14 +25,15 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = _least(both).select("u", F.least("u", "m").alias("m"))
         # Each larger neighbour of u points to the smallest around u.
-        large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = written(large, "cc")
         least = _least(large)
         small = large.join(least, F.col("a") == F.col("u"))
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        before, now = now, written(small, "cc")
+        seen = Observation()
+        before, now = now, written(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "cc")
         forget(before, large)
-        got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        got = seen.get
         if got == mark:
             break
         mark = got

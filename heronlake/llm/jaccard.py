@@ -30,7 +30,7 @@ from heronlake.llm.components import components
 from heronlake.llm.tokenhash import buffer, mix, ngram_hashes, word_hashes, word_spans
 
 #: N-grams of a block of a trie.
-BLOCK = 100_000
+BLOCK = 500_000
 #: One of so many n-grams of a set is wanted beyond the first that a link needs, before sets are read whole.
 SLACK = 8
 
@@ -230,7 +230,7 @@ def ordered_sets(sets: DataFrame, percent: int) -> DataFrame:
     tokens = sets.select("rid", "n", F.explode("set").alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
     # The n-grams of one set: bounded by its document.
-    held = tokens.join(counts, "token").groupBy("rid").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("_c", "token"))).alias("set"))
+    held = tokens.join(counts.hint("merge"), "token").groupBy("rid").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("_c", "token"))).alias("set"))
     return held.where(F.size("set") * 100 >= F.col("n") * percent).select("rid", "n", F.transform("set", lambda x: x["token"]).alias("set"))
 
 
@@ -248,7 +248,7 @@ def link_sets(sets: DataFrame, percent: int = 85) -> DataFrame:
     # A set's own n-grams come first in the order and are in no other set.
     first = F.size("set") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     heads = written(sets.select("rid", F.explode(F.slice("set", 1, F.greatest(first, F.lit(0)))).alias("token")), "jaccard-heads")
-    edges = heads.join(_shared(heads), "token").where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct()
+    edges = heads.join(_shared(heads).hint("merge"), "token").where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct()
     groups = components(edges).withColumnRenamed("node", "rid")
     held = sets.join(groups, "rid")
     sizes = held.groupBy("component").agg(F.sum("n").alias("_n"))
@@ -298,7 +298,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
 
     # Copies in several batches only let a set pass that needn't; a link is missed where the marks of both sets agree, once in 2**48.
     heads = info.select("mark", F.explode("head").alias("token"))
-    found = heads.join(_shared(heads, "mark"), "token", "left_semi").groupBy("mark").agg(F.count(F.lit(1)).alias("_c"))
+    # What grows with the input is never broadcast.
+    found = heads.join(_shared(heads, "mark").hint("merge"), "token", "left_semi").groupBy("mark").agg(F.count(F.lit(1)).alias("_c"))
     enough = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / SLACK))
     left = written(groups.join(found, "mark").where(F.col("_c") >= enough).select("rid", "rep_key", "rep_text", "n"), "jaccard-left")
     texts = named.join(left, F.col("_text_key").eqNullSafe(F.col("rep_text")) & F.col("_key").eqNullSafe(F.col("rep_key"))).select("rid", "n", "_text")
