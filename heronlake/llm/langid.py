@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +23,10 @@ from heronlake.llm.common import by_bytes, passed
 from heronlake.llm.tokenhash import SPACE, buffer, mix, word_hashes, word_spans
 
 BUCKETS = 1 << 15
-#: Bounds of the training sample: documents of each language, and bytes of each text.
-SAMPLE_DOCS, SAMPLE_WORDS = 300, 120
+#: Bounds of the training sample: languages, and of each language documents, and stretches of their texts of so many words.
+MAX_LABELS, SAMPLE_DOCS, SAMPLE_STRETCHES, STRETCH_WORDS = 200, 300, 1200, 30
+#: Words of a text that are stepped through one after the other; longer texts are cut and handed over by matrices.
+PIECE = 512
 #: A word is frequent in a language when it is one of so many words; so a lexicon has as many words at most.
 FREQUENT = 5000
 UNKNOWN = "und"
@@ -78,7 +81,7 @@ def lexicon(rows: DataFrame) -> dict[str, dict[str, float]]:
     counts = words.groupBy("label", "word").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("label").agg(F.sum("n").alias("total"))
     out: dict[str, dict[str, float]] = {}
-    for r in counts.join(F.broadcast(totals), "label").where(F.col("n") * FREQUENT >= F.col("total")).collect():
+    for r in counts.join(totals, "label").where(F.col("n") * FREQUENT >= F.col("total")).collect():
         out.setdefault(r["label"], {})[r["word"]] = r["n"] / r["total"]
     return out
 
@@ -132,63 +135,109 @@ def forward_backward(scores: np.ndarray, first: np.ndarray, transitions: np.ndar
 
     The expected counts of label pairs of neighbours are added to ``pairs``.
 
-    All sequences take a step together, the longest first, so that the loop is
-    as long as the longest text and not as all texts.
+    Sequences are cut into pieces of PIECE words that take steps together.
+    What enters and leaves a piece of a longer sequence is exact: it comes from
+    the products of the pieces' steps, so that no loop is as long as a text.
     """
     labels = scores.shape[1]
-    counts = np.diff(first)
-    order = np.argsort(-counts, kind="stable")
-    begin, size = first[:-1][order], counts[order]
     e = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float64) + 1e-12
-    t = np.exp(transitions - transitions.max())
+    t = np.exp(transitions - transitions.max()) if labels else transitions
+    counts = np.diff(first)
+    pieces = -(-counts // PIECE)
+    last = np.cumsum(pieces)
+    number = np.arange(int(last[-1]) if len(last) else 0) - np.repeat(last - pieces, pieces)
+    begin = np.repeat(first[:-1], pieces) + PIECE * number
+    size = np.minimum(PIECE, np.repeat(first[1:], pieces) - begin)
+    enter, leave = np.ones((len(begin), labels)), np.ones((len(begin), labels))
+    inner = number > 0
+    long = np.repeat(pieces > 1, pieces)
+    if long.any():
+        through = np.tile(np.eye(labels), (len(begin), 1, 1))
+        some = np.flatnonzero(long)
+        for step in range(int(size[some].max())):
+            some = some[size[some] > step]
+            move = through[some] if step == 0 else through[some] @ t
+            if step == 0:
+                move[inner[some]] = t
+            move = move * e[begin[some] + step][:, None, :]
+            through[some] = move / move.max(axis=(1, 2), keepdims=True)
+        # From piece to piece, all long sequences together.
+        for k in range(1, int(pieces.max())):
+            at = np.flatnonzero(number == k)
+            now = np.einsum("ij,ijk->ik", enter[at - 1], through[at - 1])
+            enter[at] = now / now.sum(axis=1, keepdims=True)
+        for k in range(int(pieces.max()) - 1, 0, -1):
+            at = np.flatnonzero(number == k)
+            back = np.einsum("ijk,ik->ij", through[at], leave[at])
+            leave[at - 1] = back / back.sum(axis=1, keepdims=True)
+    order = np.argsort(-size, kind="stable")
+    begin, size, inner, enter, leave = begin[order], size[order], inner[order], enter[order], leave[order]
     alpha = np.ones((len(scores), labels))
-    live = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1 if len(size) else 1), side="right") if len(size) and size[0] else np.zeros(0, np.int64)
+    live = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1 if len(size) else 1), side="right")
     now = None
     for step, n in enumerate(live):
         at = begin[:n] + step
-        now = e[at] if step == 0 else (now[:n] @ t) * e[at]
+        now = np.where(inner[:, None], enter @ t, 1.0) * e[at] if step == 0 else (now[:n] @ t) * e[at]
         now /= now.sum(axis=1, keepdims=True)
         alpha[at] = now
-    beta = np.ones((len(size), labels))
+    forward = alpha.copy() if pairs is not None else alpha
+    beta = leave
+    ends = begin + size - 1
+    alpha[ends] *= leave
     for step in range(len(live) - 1, 0, -1):
         n = live[step]
         at = begin[:n] + step
         ahead = beta[:n] * e[at]
         if pairs is not None:
-            joint = alpha[at - 1][:, :, None] * t * ahead[:, None, :]
+            joint = forward[at - 1][:, :, None] * t * ahead[:, None, :]
             pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         back = ahead @ t.T
         back /= back.sum(axis=1, keepdims=True)
         beta[:n] = back
         alpha[at - 1] *= back
+    if pairs is not None and inner.any():
+        joint = enter[inner][:, :, None] * t * (beta * e[begin])[inner][:, None, :] if len(begin) else 0
+        pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
     return alpha / alpha.sum(axis=1, keepdims=True)
 
 
-def sample(rows: DataFrame, sample_docs: int) -> tuple[list[str], list[list[str]]]:
-    """The labels of (text, label), and of each the first words of its ``sample_docs`` distinct texts of smallest hash, or of all where it has fewer."""
+def sample(rows: DataFrame, sample_docs: int, max_labels: int = MAX_LABELS) -> tuple[list[str], list[list[str]]]:
+    """The labels of (text, label), and of each SAMPLE_STRETCHES stretches of its ``sample_docs`` distinct texts of smallest hash, or of all where it has fewer.
+
+    Texts are cut whole into stretches of STRETCH_WORDS words, and those of
+    smallest hash are taken, wherever they stand.  Of more than ``max_labels``
+    labels those with the most distinct texts are learned.
+    """
     rows = rows.where("text is not null and label is not null").withColumn("h", F.xxhash64("text"))
     # Distinct texts, not rows: copies must not narrow a label's share.
-    counted = {r["label"]: r["count"] for r in rows.select("label", "h").distinct().groupBy("label").count().collect()}
+    by_label = rows.select("label", "h").distinct().groupBy("label").count().orderBy(F.col("count").desc(), "label").limit(max_labels)
+    counted = {r["label"]: r["count"] for r in by_label.collect()}
     names = sorted(counted)
     if not names:
         return [], []
     # A share of the hash space for each label, twice what is needed: of 600 expected texts, fewer than 300 are as good as impossible.
     shares = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, 2.0 * sample_docs / counted[k]))])
     share = F.pmod("h", F.lit(1_000_000_007)) / 1_000_000_007.0
-    pieces = F.concat_ws(" ", F.slice(F.split("text", r"[\x20\x09-\x0D]+"), 1, SAMPLE_WORDS))
-    near = rows.where(share < F.element_at(shares, F.col("label"))).select("label", "h", pieces.alias("text")).dropDuplicates(["label", "h"])
-    found = near.orderBy("h", "label").limit(4 * sample_docs * len(names)).toPandas()
-    return names, [list(found["text"][found["label"] == name].head(sample_docs)) for name in names]
+    near = rows.where(share < F.element_at(shares, F.col("label"))).dropDuplicates(["label", "h"])
+    # A few hundred texts of a label at most: a window over them is small.
+    near = near.withColumn("_r", F.row_number().over(W.partitionBy("label").orderBy("h"))).where(F.col("_r") <= sample_docs)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / STRETCH_WORDS)), lambda i: F.concat_ws(" ", F.slice("w", (i * STRETCH_WORDS + 1).cast("int"), STRETCH_WORDS)))
+    stretches = near.select("label", words.alias("w")).where(F.size("w") > 0).select("label", F.explode(cut).alias("text"))
+    order = W.partitionBy("label").orderBy(F.xxhash64("text"), "text")
+    found = stretches.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLE_STRETCHES).select("label", "text").orderBy(F.xxhash64("text"), "text").toPandas()
+    return names, [list(found["text"][found["label"] == name]) for name in names]
 
 
 def train(docs: DataFrame, labels: Column, text: str = "text", sample_docs: int = SAMPLE_DOCS, rounds: int = 60, seed: int = 7) -> dict:
     """Fit the weights on a bounded sample of labelled rows.
 
-    At most ``sample_docs`` distinct texts of each label are taken, by the hash
-    of the text, and of each the ``SAMPLE_WORDS`` first words;
-    rows with a null label or text teach nothing.  Stretches of 5 to 40 words
-    of different documents are strung together, so that transitions see
-    switches.  Gradient steps follow the exact likelihood by forward-backward.
+    Of at most MAX_LABELS labels and ``sample_docs`` distinct texts of each, by
+    the hash of the text, at most SAMPLE_STRETCHES stretches from anywhere in
+    them are taken; rows with a null label or text teach nothing.  Four
+    stretches of different documents are strung together, so that transitions
+    see switches.  Weights and transitions start at 0 and follow the gradient
+    of the exact likelihood, by forward-backward.
     Without a labelled row the model has no label and predicts ``und``.
     """
     rows = docs.select(F.col(text).alias("text"), labels.cast("string").alias("label"))
@@ -197,24 +246,21 @@ def train(docs: DataFrame, labels: Column, text: str = "text", sample_docs: int
         return {"labels": [], "weights": np.zeros((BUCKETS, 0), np.float32), "transitions": np.zeros((0, 0)), "lexicon": _lexicon_table([], {}), "lexicon_weights": np.zeros((0, 0), np.float32)}
     rng = np.random.default_rng(seed)
     # Stretches, shuffled: (label, text).
-    stretches = []
-    for k, part in enumerate(picked):
-        for words in (t.split() for t in part):
-            while words:
-                cut = int(rng.integers(5, 41))
-                stretches.append((k, " ".join(words[:cut])))
-                words = words[cut:]
+    stretches = [(k, text) for k, part in enumerate(picked) for text in part]
     rng.shuffle(stretches)
     chains = [stretches[i : i + 4] for i in range(0, len(stretches), 4)]
     texts = pa.array([" ".join(s for _, s in chain) for chain in chains])
     data, offsets = buffer(texts)
     starts, lengths, first = word_spans(data, offsets)
     gold = np.concatenate([np.full(len(s.split()), k) for chain in chains for k, s in chain]) if chains else np.zeros(0, np.int64)
-    model = {"labels": names, "weights": np.zeros((BUCKETS, len(names)), np.float32), "transitions": np.zeros((len(names), len(names))), "lexicon": _lexicon_table(names, lexicon(rows)), "lexicon_weights": np.zeros((len(names), len(names)), np.float32)}
+    model = {"labels": names, "weights": np.zeros((BUCKETS, len(names)), np.float32), "transitions": np.zeros((len(names), len(names))), "lexicon": _lexicon_table(names, lexicon(rows.where(F.col("label").isin(names)))), "lexicon_weights": np.zeros((len(names), len(names)), np.float32)}
     n = len(starts)
     if n == 0 or len(names) < 2:
         return model
     word, bucket = features(data, starts, lengths)
+    order = np.argsort(word, kind="stable")
+    word, bucket = word[order], bucket[order]
+    own = np.searchsorted(word, np.arange(n))
     scale = 1 / np.sqrt(5.0 + np.maximum(lengths - 2, 0))
     target = np.eye(len(names))[gold]
     inside = np.ones(n, dtype=bool)
@@ -222,13 +268,13 @@ def train(docs: DataFrame, labels: Column, text: str = "text", sample_docs: int
     links = np.flatnonzero(inside)
     seen = np.zeros((len(names), len(names)))
     np.add.at(seen, (gold[links - 1], gold[links]), 1)
-    # Transitions start at the posterior mean of the switch rates under a flat prior; then adaptive gradient steps for all.
-    model["transitions"] = np.log((seen + 1) / (seen + 1).sum(axis=1, keepdims=True))
     power = np.full(model["weights"].shape, 1e-3)
     power_pairs, power_lexicon = np.full(seen.shape, 1e-3), np.full(seen.shape, 1e-3)
     frequent = model["lexicon"][1][lexicon_rows(model, word_hashes(data, starts, lengths))]
+    # Adaptive gradient steps.
     for _ in range(rounds):
-        scores = emissions(model, data, starts, lengths)
+        # The same as emissions(), with the features found once.
+        scores = (np.add.reduceat(model["weights"][bucket], own, axis=0) + frequent @ model["lexicon_weights"]) * scale[:, None]
         expected = np.zeros_like(seen)
         miss = (target - forward_backward(scores, first, model["transitions"], expected)) * scale[:, None]
         gradient = np.stack([np.bincount(bucket, weights=miss[word, k], minlength=BUCKETS) for k in range(len(names))], axis=1) / n
@@ -240,7 +286,7 @@ def train(docs: DataFrame, labels: Column, text: str = "text", sample_docs: int
         model["lexicon_weights"] = (model["lexicon_weights"] + 0.1 * gradient * 100 / np.sqrt(power_lexicon)).astype(np.float32)
         gradient = (seen - expected) / n - 1e-7 * model["transitions"]
         power_pairs += gradient**2 * 1e4
-        model["transitions"] = model["transitions"] + 0.1 * gradient * 100 / np.sqrt(power_pairs)
+        model["transitions"] = model["transitions"] + 0.3 * gradient * 100 / np.sqrt(power_pairs)
     return model
 
 
@@ -268,8 +314,10 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, .
 
     Null texts, and texts without a letter, are ``und`` with score 0.  Ties go
     to the first language by name.  The model's size is bounded (BUCKETS times
-    the number of languages), so it is broadcast.
+    MAX_LABELS), so it is broadcast.  A kept column with the name of one made
+    here gives way to it.
     """
+    keep = passed(keep, ("lang_pred", "score"))
     source = docs.select(*keep, text)
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -293,7 +341,8 @@ def word_labels(model: dict, text: str) -> list[tuple[str, str, float]]:
 
 
 def label_words(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and an array ``words`` of (word, lang, score): the labels of each word of code-switched texts."""
+    """``keep`` and an array ``words`` of (word, lang, score): the labels of each word of code-switched texts.  A kept column named words gives way."""
+    keep = passed(keep, ("words",))
     source = docs.select(*keep, text)
     schema = docs.select(*keep).schema.add("words", WORDS)
     shared = docs.sparkSession.sparkContext.broadcast(model)
