@@ -1,14 +1,16 @@
 """Mixing, URL filters, components, the pipeline and the queries' SQL."""
 
+import math
 import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from heronlake.llm import components, mixing, registry, urls
+from heronlake.llm import components, mixing, registry, url_labels, urls
 from heronlake.llm.common import words_column
 
 
@@ -75,15 +77,46 @@ def test_url_rules(spark):
         assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, best[1], best[2]), u
 
 
+def probability(weights):
+    return urls.score(urls.host_of(F.col("url")), urls.path_of(F.col("url")), weights)
+
+
+def test_url_weights_against_numpy(spark):
+    rows = [(u, label) for i, (u, label) in enumerate(url_labels.rows()) if i % 9 == 0] * 2
+    table = spark.createDataFrame([*rows, ("http://a.example.org/x", None)], "url string, label int")
+    weights = urls.train(table, size=64, rounds=8, rate=3.0)
+    found = table.where("label is not null").orderBy("url", "label").select("label", urls.buckets(urls.host_of(F.col("url")), urls.path_of(F.col("url")), 64).alias("b")).collect()
+    x, y = np.zeros((len(found), 65)), np.array([float(r["label"]) for r in found])
+    for i, r in enumerate(found):
+        x[i, [*r["b"], 64]] = 1 / math.sqrt(len(r["b"]) + 1)
+    share = np.where(y > 0.5, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    w, speed = np.zeros(65), np.zeros(65)
+    for _ in range(8):
+        speed = 0.9 * speed + 3.0 * x.T @ ((y - 1 / (1 + np.exp(-x @ (w + 0.9 * speed)))) * share) / len(y)
+        w += speed
+    assert np.allclose(weights, w, atol=2e-6) and len(weights) == 65
+    assert urls.train(table.limit(0), size=16) == [0.0] * 17
+
+
 def test_url_model(spark):
-    weights = urls.train(urls.labelled_urls(spark), size=1024)
-    rows = urls.labelled_urls(spark).select("label", urls.score(urls.host_of(F.col("url")), urls.path_of(F.col("url")), weights).alias("p"))
-    right = rows.select(F.avg(((F.col("p") >= 0.5).cast("int") == F.col("label")).cast("int"))).first()[0]
-    assert right > 0.97
-    new = spark.createDataFrame([("http://blog.casino-win.example.net/fr/4", True), ("https://m.quiet-river.example.org/en/9.html", False)], "url string, bad boolean")
-    for r in new.select("bad", urls.score(urls.host_of(F.col("url")), urls.path_of(F.col("url")), weights).alias("p")).collect():
-        assert (r["p"] >= 0.5) == r["bad"]
-    assert urls.train(urls.labelled_urls(spark).limit(0), size=16) == [0.0] * 17
+    # No host of the pages teaches.
+    hosts = {r["h"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select(urls.host_of(F.col("url")).alias("h")).collect()}
+    table = urls.labelled_urls(spark).withColumn("host", F.regexp_replace(urls.host_of(F.col("url")), r"^(www|m|blog)\.", ""))
+    assert not hosts & {r["host"] for r in table.collect()}
+    # A third of the names is held out in all forms.
+    part = F.crc32(F.substring_index("host", ".", 1)) % 3
+    weights = urls.train(table.where(part != 0).select("url", "label"))
+    right = table.where(part == 0).select(F.avg(((probability(weights) >= 0.5).cast("int") == F.col("label")).cast("int"))).first()[0]
+    assert right > 0.7
+
+
+def test_url_edge_cases(spark):
+    weights = [0.5] * 65
+    rows = [(1, "http://a.org/" + "x" * 100_000, "h"), (2, None, "h"), (2, None, "h"), (3, "", "h"), (4, "HTTP://É.com/fr/", "h")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string")
+    got = urls.judge(pages, weights, registry.URL_RULES, keep=("page_id", "host")).collect()
+    assert len(got) == 5 and sorted(r["host"] for r in got) == ["", "", "", "a.org", "É.com"]
+    assert urls.judge(pages.limit(0), weights, registry.URL_RULES).count() == 0
 
 
 def test_components(spark):

@@ -386,11 +386,30 @@ def test_language_sample_counts_copies_once(spark):
     texts = [f"ka lo {i}" for i in range(30)] + [f"zu tre {i}" for i in range(40)] + ["vo vo"] * 4000
     rows = frame(spark, texts, lang=["xx"] * 30 + ["yy"] * 4040).select("text", F.col("lang").alias("label"))
     for most, expected in ((20, [20, 20]), (35, [30, 35]), (300, [30, 41])):
+        # Each text is one stretch.
         names, picked = langid.sample(rows, most)
         assert names == ["xx", "yy"] and [len(set(p)) for p in picked] == [len(p) for p in picked] == expected
         assert all(set(p) <= set(texts) for p in picked)
 
 
+def test_language_sample_reads_whole_texts(spark):
+    long = " ".join(f"w{i}" for i in range(40_000))
+    rows = spark.createDataFrame([(long, "xx"), ("ka lo", "yy"), ("", "yy"), (None, "yy"), ("zu", None), ("qui", "zz")], "text string, label string")
+    names, picked = langid.sample(rows, 300, 2)
+    assert names == ["xx", "yy"] and picked[1] == ["ka lo"]
+    words = [w for t in picked[0] for w in t.split()]
+    assert len(picked[0]) == langid.SAMPLE_STRETCHES and len(words) == len(set(words)) > (langid.SAMPLE_STRETCHES - 1) * langid.STRETCH_WORDS
+    assert max(int(w[1:]) for w in words) > 39_000
+
+
+def test_language_edge_cases(spark):
+    model = langid.train(frame(spark, ["ka lo mi"] * 3 + ["zu tre"] * 3, lang=["xx"] * 3 + ["yy"] * 3), F.col("lang"))
+    docs = spark.createDataFrame([(1, "ka " * 300_000, "x"), (2, "zu", "x"), (2, "zu", "x"), (3, None, "x")], "doc_id long, text string, score string")
+    got = langid.predict(docs, model, keep=("doc_id", "score")).collect()
+    assert [r["lang_pred"] for r in sorted(got, key=lambda r: r["doc_id"])] == ["xx", "yy", "yy", "und"] and got[0]["score"] > 0.5
+    assert langid.predict(docs.limit(0), model).count() == 0
+
+
 def test_language_learns_transitions_and_a_lexicon(spark):
     texts = ["The cat the dog"] * 30 + ["la casa la"] * 30
     rows = frame(spark, texts, lang=["en"] * 30 + ["es"] * 30).select("text", F.col("lang").alias("label"))
@@ -410,15 +429,32 @@ def test_language_learns_transitions_and_a_lexicon(spark):
     assert np.allclose(pairs, 4 * total / total.sum())
 
 
-def test_forward_backward_is_exact():
+@pytest.mark.parametrize("piece", [512, 2, 1])
+def test_forward_backward_is_exact(piece, monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", piece)
     rng = np.random.default_rng(13)
     scores, transitions = rng.normal(size=(9, 3)), rng.normal(size=(3, 3))
     first = np.array([0, 4, 4, 9])
-    got = langid.forward_backward(scores, first, transitions)
+    pairs, both = np.zeros((3, 3)), np.zeros((3, 3))
+    got = langid.forward_backward(scores, first, transitions, pairs)
     for a, b in ((0, 4), (4, 9)):
-        total = np.zeros((b - a, 3))
+        total, moves = np.zeros((b - a, 3)), np.zeros((3, 3))
         for path in itertools.product(range(3), repeat=b - a):
             weight = math.exp(sum(scores[a + i, k] for i, k in enumerate(path)) + sum(transitions[x, y] for x, y in itertools.pairwise(path)))
             for i, k in enumerate(path):
                 total[i, k] += weight
+            for move in itertools.pairwise(path):
+                moves[move] += weight
         assert np.allclose(got[a:b], total / total.sum(axis=1, keepdims=True))
+        both += moves * (b - a - 1) / moves.sum()
+    assert np.allclose(pairs, both)
+
+
+def test_a_million_words_are_labelled_quickly():
+    import time
+
+    rng = np.random.default_rng(15)
+    scores = rng.normal(size=(1_000_000, 4))
+    began = time.perf_counter()
+    langid.forward_backward(scores, np.array([0, len(scores)]), np.eye(4))
+    assert time.perf_counter() - began < 10
