@@ -9,6 +9,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 Picker = Callable[[Column], Column]
+#: Authors or identifiers of one request.
+REQUEST = 500
+
+
+def dealt(rows: DataFrame, group: Sequence[str], key: str, most: int = REQUEST) -> DataFrame:
+    """Distinct rows (group, key) with ``request``: a group is dealt by a hash of the key to requests of about ``most`` rows, so that none grows with the group."""
+    once = rows.select(*group, key).distinct()
+    sizes = once.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / most).alias("_requests"))
+    number = F.conv(F.substring(F.sha2(F.col(key).cast("binary"), 256), 1, 8), 16, 10).cast("long")
+    return once.join(sizes, list(group)).withColumn("request", F.pmod(number, "_requests")).drop("_requests")
 
 
 def first_writes(k: int = 2) -> Picker:
@@ -30,7 +40,7 @@ def pick(relay_lists: DataFrame, picker: Picker | None = None, fallback: Sequenc
 
 
 def outbox_batch(picked: DataFrame, filters: Sequence[int] = (0,), per_author: int | None = None) -> DataFrame:
-    """(url, filter_idx, authors, n_authors): one request for each relay and filter, authors sorted.
+    """(url, filter_idx, request, authors, n_authors): requests for each relay and filter, of about REQUEST sorted authors each.
 
     With ``per_author``, an author is asked for at that many of its relays,
     those that most authors share first.
@@ -39,8 +49,8 @@ def outbox_batch(picked: DataFrame, filters: Sequence[int] = (0,), per_author: i
         counts = picked.groupBy("url").agg(F.count(F.lit(1)).alias("_n"))
         w = W.partitionBy("pubkey").orderBy(F.col("_n").desc(), "url")
         picked = picked.join(counts, "url").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_author).select("pubkey", "url")
-    by_url = picked.groupBy("url").agg(F.array_sort(F.collect_set("pubkey")).alias("authors"))
-    return by_url.select("url", F.explode(F.array(*[F.lit(i) for i in filters])).alias("filter_idx"), "authors", F.size("authors").cast("long").alias("n_authors"))
+    by_url = dealt(picked, ["url"], "pubkey").groupBy("url", "request").agg(F.array_sort(F.collect_list("pubkey")).alias("authors"))
+    return by_url.select("url", F.explode(F.array(*[F.lit(i) for i in filters])).alias("filter_idx"), "request", "authors", F.size("authors").cast("long").alias("n_authors"))
 
 
 def batch_sizes(picked: DataFrame) -> DataFrame:
@@ -69,8 +79,9 @@ def first_tier(tiers: Sequence[DataFrame], key: str) -> DataFrame:
 
 
 def pointer_requests(pointers: DataFrame) -> DataFrame:
-    """(kind, pubkey, identifiers): wanted addresses as one request for each kind and author."""
-    return pointers.groupBy("kind", "pubkey").agg(F.array_sort(F.collect_set("identifier")).alias("identifiers"))
+    """(kind, pubkey, request, identifiers): wanted addresses as requests for each kind and author, of about REQUEST sorted identifiers each."""
+    named = dealt(pointers.where("identifier is not null"), ["kind", "pubkey"], "identifier")
+    return named.groupBy("kind", "pubkey", "request").agg(F.array_sort(F.collect_list("identifier")).alias("identifiers"))
 
 
 def relay_since(wanted: DataFrame) -> DataFrame:

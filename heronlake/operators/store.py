@@ -160,8 +160,10 @@ class EventStore:
         it is newer than what is there.  An all-zero id stands for "looked, and
         there was none": only the attempt is recorded.  ``_arrival`` orders the
         batch where it has that column, else time and id do.  Only the buckets
-        of the batch's authors are read and written.
+        of the batch's authors are read and written.  The batch is written once
+        before, so that the answer fits what was stored whatever its source.
         """
+        batch = self.stage(batch)
         if "_arrival" not in batch.columns:
             batch = batch.withColumn("_arrival", F.struct("created_at", "id"))
         new = valid(batch).select(*EVENT_COLUMNS, "_arrival").withColumn("_old", F.lit(1))
@@ -186,11 +188,15 @@ class EventStore:
         every = self._read("attempts", touched).unionByName(new)
         self._put("attempts", every.groupBy("kind", "pubkey", "d").agg(F.max("last_attempt").alias("last_attempt")), touched, ("pubkey", "kind"))
 
+    def stage(self, rows: DataFrame) -> DataFrame:
+        """Rows as they are now; ``vacuum`` deletes them."""
+        folder = f"{self.path}/staged-{uuid.uuid4().hex}"
+        rows.write.parquet(folder)
+        return self.spark.read.schema(rows.schema).parquet(folder)
+
     def _remove(self, found: DataFrame) -> DataFrame:
         """Delete the events with the ids of ``found`` (id, pubkey) and return the ids."""
-        folder = f"{self.path}/deleted-{uuid.uuid4().hex}"
-        found.select("id", "pubkey").distinct().write.parquet(folder)
-        found = self.spark.read.schema("id string, pubkey string").parquet(folder)
+        found = self.stage(found.select("id", "pubkey").distinct())
         touched = self._touched(found)
         if touched:
             self._replace(self._read("events", touched).join(found.select("id"), "id", "left_anti"), touched)
@@ -231,8 +237,7 @@ class EventStore:
 
     def bounds_map(self) -> DataFrame:
         """(pubkey, kinds): a map from kind to [oldest, newest]."""
-        pair = F.struct("kind", F.array("oldest", "newest"))
-        return self.bounds().groupBy("pubkey").agg(F.map_from_entries(F.collect_list(pair)).alias("kinds"))
+        return bounds_map(self.bounds())
 
     def set_bounds(self, rows: DataFrame) -> None:
         """Upsert bounds; given rows win."""
@@ -241,6 +246,12 @@ class EventStore:
         self._put("bounds", old.unionByName(rows.select("pubkey", "kind", "oldest", "newest")), touched, ("pubkey", "kind"))
 
 
+def bounds_map(bounds: DataFrame) -> DataFrame:
+    """(pubkey, kinds): a map from kind to [oldest, newest]; an author has as many entries as there are kinds."""
+    pair = F.struct("kind", F.array("oldest", "newest"))
+    return bounds.groupBy("pubkey").agg(F.map_from_entries(F.collect_list(pair)).alias("kinds"))
+
+
 def deleted_by(events: DataFrame, strict: bool = True) -> DataFrame:
     """Ids of events that kind-5 events delete, by ``e`` tags (ids) and ``a`` tags (addresses).
 

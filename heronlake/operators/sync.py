@@ -60,15 +60,67 @@ def page_before(events: DataFrame, plan: DataFrame, kinds: Sequence, page: int =
     return due.where("until is null or created_at <= until").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= page).drop("_r", "until")
 
 
-def catch_up(source: DataFrame, bounds: DataFrame, authors: DataFrame, kinds: Sequence, now: int, page: int = PAGE, overlap: int = OVERLAP) -> DataFrame:
-    """New events of authors that are not in sync: since what is known, at most ``page`` each."""
-    state = authors.join(synced_up_to(bounds, kinds), "pubkey", "left")
-    due = state.where(F.col("synced").isNull() | (F.col("synced") <= now - overlap))
-    w = W.partitionBy("pubkey").orderBy(F.col("created_at").desc(), "id")
+def due_authors(bounds: DataFrame, authors: DataFrame, kinds: Sequence, now: int, overlap: int = OVERLAP) -> DataFrame:
+    """(pubkey, synced) of the authors that are not in sync; ``synced`` is null where all is to be fetched."""
+    state = authors.select("pubkey").distinct().join(synced_up_to(bounds, kinds), "pubkey", "left")
+    return state.where(F.col("synced").isNull() | (F.col("synced") <= now - overlap))
+
+
+def catch_up(source: DataFrame, bounds: DataFrame, authors: DataFrame, kinds: Sequence, now: int, page: int | None = PAGE, overlap: int = OVERLAP) -> DataFrame:
+    """New events of authors that are not in sync: since what is known, at most the newest ``page`` each, or all.
+
+    After a full page the bounds may not be raised to now: what lies between is not fetched.
+    """
+    due = due_authors(bounds, authors, kinds, now, overlap)
     found = source.where(F.col("kind").isin(list(kinds))).join(due, "pubkey").where("synced is null or created_at >= synced")
+    if page is None:
+        return found.drop("synced")
+    w = W.partitionBy("pubkey").orderBy(F.col("created_at").desc(), "id")
     return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= page).drop("_r", "synced")
 
 
 def not_yet_live(authors: DataFrame, live: DataFrame) -> DataFrame:
     """Authors without a running tail."""
     return authors.join(live.select("pubkey"), "pubkey", "left_anti")
+
+
+def _take(store, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Save fetched events and what they delete; the events as they were fetched, and (pubkey, n_stored)."""
+    fetched = store.stage(found)
+    answer = store.save(fetched)
+    store.apply_deletions(batch=fetched)
+    stored = answer.where("stored").join(fetched.select("id", "pubkey").distinct(), "id")
+    return fetched, stored.groupBy("pubkey").agg(F.count(F.lit(1)).alias("n_stored"))
+
+
+def run_sync(store, source: DataFrame, authors: DataFrame, kinds: Sequence, now: int, overlap: int = OVERLAP) -> DataFrame:
+    """Bring a store up to now: (pubkey, n_stored).
+
+    Of every author that is not in sync all events since what is known are
+    fetched, however many, saved, and their deletions applied; then the bounds
+    of every asked author and kind are raised to now.  There is no page and so
+    no gap.
+    """
+    bounds = store.stage(store.bounds())
+    due = store.stage(due_authors(bounds, authors, kinds, now, overlap))
+    fetched, stored = _take(store, catch_up(source, bounds, due, kinds, now, None, overlap))
+    asked = due.select("pubkey", F.explode(F.array(*[F.lit(int(k)) for k in kinds])).alias("kind"))
+    held = bounds.join(due.select("pubkey"), "pubkey", "left_semi")
+    store.set_bounds(raise_bounds(held, fetched, asked, now))
+    return stored
+
+
+def run_backfill(store, source: DataFrame, kinds: Sequence, ts: int) -> DataFrame:
+    """Fill a store with older events back to ``ts``: (pubkey, n_stored).
+
+    For every known author with a gap, all events from ``ts`` up to what is
+    known are fetched and saved, and the bounds fall to ``ts``.
+    """
+    bounds = store.stage(store.bounds())
+    plan = store.stage(backfill_plan(bounds, kinds, ts).where("need"))
+    older = source.where(F.col("kind").isin(list(kinds)) & (F.col("created_at") >= ts)).join(plan.select("pubkey", "until"), "pubkey").where("until is null or created_at <= until").drop("until")
+    fetched, stored = _take(store, older)
+    reached = plan.select("pubkey", F.explode(F.array(*[F.lit(int(k)) for k in kinds])).alias("kind"), F.lit(ts).cast("long").alias("oldest"), F.lit(ts).cast("long").alias("newest"))
+    held = bounds.join(plan.select("pubkey"), "pubkey", "left_semi")
+    store.set_bounds(lower_bounds(held.unionByName(reached), fetched))
+    return stored

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +13,7 @@ from heronlake.functions import scalars as S
 from heronlake.operators import filters, graph, latest, lists, profiles, ranking, routing, store, sync
 from heronlake.operators.filters import Filter
 from heronlake.operators.schema import is_addressable, is_replaceable
-from heronlake.plans.tables import FOLLOWS_SQL, NOTES_SQL, NOW, RELAYS_SQL, TAGS_SQL, WHOLE_FOLLOWS_SQL, follows, list_events, notes, relay_items, set_events, table, tag, tag_rows, whole_follows
+from heronlake.plans.tables import FOLLOWS_SQL, LIST_SPAN, NOTES_SQL, NOW, RELAYS_SQL, TAGS_SQL, follows, list_events, notes, relay_items, set_events, shared_dir, table, tag, tag_rows
 from heronlake.streaming import tail
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,18 +70,11 @@ _add("ids_lookup", _ids, f"WITH {NOTES_SQL} SELECT id, kind FROM notes WHERE id
 
 
 def _many_authors(spark: SparkSession, d: str) -> DataFrame:
-    return filters.matching(notes(spark, d), Filter(authors=[str(i) for i in range(0, 6000, 3)], kinds=[1])).groupBy("pubkey").agg(F.count(F.lit(1)).alias("n"))
-
-
-_add("many_authors", _many_authors, f"WITH {NOTES_SQL} SELECT pubkey, count(*) AS n FROM notes WHERE kind = 1 AND CAST(pubkey AS BIGINT) % 3 = 0 AND CAST(pubkey AS BIGINT) < 6000 GROUP BY pubkey")
-
-
-def _all_authors(spark: SparkSession, d: str) -> DataFrame:
     n = notes(spark, d)
     return filters.matching(n, Filter(kinds=[1])).join(n.where("kind = 30023").select("pubkey"), "pubkey", "left_semi").groupBy("pubkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-_add("many_authors_whole", _all_authors, f"WITH {NOTES_SQL} SELECT pubkey, count(*) AS n FROM notes WHERE kind = 1 AND pubkey IN (SELECT pubkey FROM notes WHERE kind = 30023) GROUP BY pubkey")
+_add("many_authors", _many_authors, f"WITH {NOTES_SQL} SELECT pubkey, count(*) AS n FROM notes WHERE kind = 1 AND pubkey IN (SELECT pubkey FROM notes WHERE kind = 30023) GROUP BY pubkey")
 
 
 def _any_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -113,33 +106,6 @@ def _dedupe(spark: SparkSession, d: str) -> DataFrame:
 _add("dedupe_ids", _dedupe, f"WITH {NOTES_SQL} SELECT DISTINCT id, pubkey, kind FROM notes")
 
 
-def _load(spark: SparkSession, d: str) -> DataFrame:
-    n = notes(spark, d)
-    specs = spark.range(200).select(F.col("id").cast("int").alias("pos"), F.lit(30023).alias("kind"), (F.col("id") % 60).cast("string").alias("pubkey"), (F.col("id") % 7).cast("string").alias("d"))
-    attempts = n.where("kind = 7").groupBy(F.lit(30023).alias("kind"), "pubkey", F.col("k").alias("d")).agg(F.max("created_at").alias("last_attempt"))
-    found = store.load_replaceables(specs, n, attempts)
-    return found.select(F.col("pos").cast("long").alias("pos"), "last_attempt", F.get("events", F.lit(0))["id"].alias("id"))
-
-
-_add("load_replaceables", _load, f"""WITH {NOTES_SQL}, specs AS (SELECT range AS pos, CAST(range % 60 AS VARCHAR) AS pubkey, CAST(range % 7 AS VARCHAR) AS d FROM range(200)),
-newest AS (SELECT pubkey, k, id FROM notes WHERE kind = 30023 QUALIFY row_number() OVER (PARTITION BY pubkey, k ORDER BY created_at DESC, id) = 1),
-tried AS (SELECT pubkey, k, max(created_at) AS last_attempt FROM notes WHERE kind = 7 GROUP BY ALL)
-SELECT s.pos, t.last_attempt, n.id FROM specs s LEFT JOIN newest n ON n.pubkey = s.pubkey AND n.k = s.d LEFT JOIN tried t ON t.pubkey = s.pubkey AND t.k = s.d""")
-
-
-def _bundles(spark: SparkSession, d: str) -> DataFrame:
-    n = notes(spark, d)
-    specs = spark.range(40).select(F.col("id").cast("int").alias("pos"), F.lit(30023).alias("kind"), F.col("id").cast("string").alias("pubkey"), F.lit(None).cast("string").alias("d"))
-    found = store.load_replaceables(specs, n, spark.createDataFrame([], store.ATTEMPTS), most=3)
-    return found.select(F.col("pos").cast("long").alias("pos"), F.array_join(F.transform("events", lambda e: e["id"]), ",").alias("ids"))
-
-
-_add("load_bundles", _bundles, f"""WITH {NOTES_SQL}, newest AS (SELECT pubkey, k, id, created_at FROM notes WHERE kind = 30023 QUALIFY row_number() OVER (PARTITION BY pubkey, k ORDER BY created_at DESC, id) = 1),
-top AS (SELECT * FROM newest QUALIFY row_number() OVER (PARTITION BY pubkey ORDER BY created_at DESC, id) <= 3)
-SELECT range AS pos, string_agg(id, ',' ORDER BY created_at DESC, id) AS ids FROM range(40) LEFT JOIN top ON top.pubkey = CAST(range AS VARCHAR) GROUP BY range""")
-
-
-
 def _load_all(spark: SparkSession, d: str) -> DataFrame:
     """A lookup of every (author, k) that any event names."""
     n = notes(spark, d)
@@ -148,7 +114,7 @@ def _load_all(spark: SparkSession, d: str) -> DataFrame:
     return store.load_replaceables(specs, n, attempts).select("pos", "last_attempt", F.get("events", F.lit(0))["id"].alias("id"))
 
 
-_add("load_replaceables_whole", _load_all, f"""WITH {NOTES_SQL}, specs AS (SELECT min(CAST(id AS BIGINT)) AS pos, pubkey, k FROM notes WHERE k IS NOT NULL GROUP BY pubkey, k),
+_add("load_replaceables", _load_all, f"""WITH {NOTES_SQL}, specs AS (SELECT min(CAST(id AS BIGINT)) AS pos, pubkey, k FROM notes WHERE k IS NOT NULL GROUP BY pubkey, k),
 newest AS (SELECT pubkey, k, id FROM notes WHERE kind = 30023 QUALIFY row_number() OVER (PARTITION BY pubkey, k ORDER BY created_at DESC, id) = 1),
 tried AS (SELECT pubkey, k, max(created_at) AS last_attempt FROM notes WHERE kind = 7 GROUP BY ALL)
 SELECT s.pos, t.last_attempt, n.id FROM specs s LEFT JOIN newest n USING (pubkey, k) LEFT JOIN tried t USING (pubkey, k)""")
@@ -162,7 +128,7 @@ def _all_bundles(spark: SparkSession, d: str) -> DataFrame:
     return found.select("pos", F.array_join(F.transform("events", lambda e: e["id"]), ",").alias("ids"))
 
 
-_add("load_bundles_whole", _all_bundles, f"""WITH {NOTES_SQL}, newest AS (SELECT pubkey, k, id, created_at FROM notes WHERE kind = 30023 QUALIFY row_number() OVER (PARTITION BY pubkey, k ORDER BY created_at DESC, id) = 1),
+_add("load_bundles", _all_bundles, f"""WITH {NOTES_SQL}, newest AS (SELECT pubkey, k, id, created_at FROM notes WHERE kind = 30023 QUALIFY row_number() OVER (PARTITION BY pubkey, k ORDER BY created_at DESC, id) = 1),
 top AS (SELECT * FROM newest QUALIFY row_number() OVER (PARTITION BY pubkey ORDER BY created_at DESC, id) <= 3)
 SELECT CAST(a.pubkey AS BIGINT) AS pos, string_agg(id, ',' ORDER BY created_at DESC, id) AS ids FROM (SELECT DISTINCT pubkey FROM notes) a LEFT JOIN top USING (pubkey) GROUP BY a.pubkey""")
 
@@ -187,10 +153,6 @@ _WOT = f"WITH {FOLLOWS_SQL} SELECT DISTINCT b.dst FROM follows a JOIN follows b
 _add("wot_two_hop", lambda s, d: graph.web_of_trust(follows(s, d), 1, follows(s, d).where("src = 7").select("dst")), _WOT + " AND b.dst NOT IN (SELECT dst FROM follows WHERE src = 7)")
 _add("wot_with_direct", lambda s, d: graph.web_of_trust(follows(s, d), 1, None, include_direct=True), _WOT + " UNION SELECT dst FROM follows WHERE src = 1")
 
-_WHOLE_WOT = f"WITH {WHOLE_FOLLOWS_SQL} SELECT DISTINCT b.dst FROM whole_follows a JOIN whole_follows b ON b.src = a.dst WHERE a.src = 1"
-_add("wot_two_hop_whole", lambda s, d: graph.web_of_trust(whole_follows(s, d), 1, whole_follows(s, d).where("src = 7").select("dst")), _WHOLE_WOT + " AND b.dst NOT IN (SELECT dst FROM whole_follows WHERE src = 7)")
-_add("wot_with_direct_whole", lambda s, d: graph.web_of_trust(whole_follows(s, d), 1, None, include_direct=True), _WHOLE_WOT + " UNION SELECT dst FROM whole_follows WHERE src = 1")
-
 _add("globalism", lambda s, d: ranking.popularity(relay_items(s, d)).select("url", F.round("score", 6).alias("score")), f"WITH {RELAYS_SQL} SELECT url, round(sum(share), 6) AS score FROM (SELECT url, 20.0 / count(*) OVER (PARTITION BY pubkey) AS share FROM relays) GROUP BY url")
 _add("relay_popularity", lambda s, d: routing.batch_sizes(relay_items(s, d)), f"WITH {RELAYS_SQL} SELECT url, count(DISTINCT pubkey) AS n_authors FROM relays GROUP BY url")
 
@@ -217,8 +179,10 @@ def _picked(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("relay_pick", _picked, f"WITH {RELAYS_SQL} SELECT pubkey, url FROM relays WHERE pos <= 2")
-_add("outbox_batch", lambda s, d: routing.outbox_batch(_picked(s, d), (0, 1)).select("url", F.col("filter_idx").cast("long").alias("filter_idx"), F.array_join("authors", ",").alias("authors"), "n_authors"), f"WITH {RELAYS_SQL} SELECT url, range AS filter_idx, string_agg(pubkey, ',' ORDER BY pubkey) AS authors, count(*) AS n_authors FROM relays, range(2) WHERE pos <= 2 GROUP BY url, range")
-_add("outbox_popular_first", lambda s, d: routing.outbox_batch(_picked(s, d), (0,), per_author=1).select("url", "n_authors"), f"WITH {RELAYS_SQL}, picked AS (SELECT pubkey, url, count(*) OVER (PARTITION BY url) AS n FROM relays WHERE pos <= 2), best AS (SELECT pubkey, url FROM picked QUALIFY row_number() OVER (PARTITION BY pubkey ORDER BY n DESC, url) = 1) SELECT url, count(*) AS n_authors FROM best GROUP BY url")
+_add("outbox_batch", lambda s, d: routing.outbox_batch(_picked(s, d), (0, 1)).select("url", F.col("filter_idx").cast("long").alias("filter_idx"), "request", F.array_join("authors", ",").alias("authors"), "n_authors"), f"""WITH {RELAYS_SQL}, picked AS (SELECT DISTINCT pubkey, url FROM relays WHERE pos <= 2), n AS (SELECT url, ceil(count(*) / {routing.REQUEST}.0) AS k FROM picked GROUP BY url),
+dealt AS (SELECT url, pubkey, CAST(('0x' || substring(sha256(pubkey), 1, 8))::BIGINT % k AS BIGINT) AS request FROM picked JOIN n USING (url))
+SELECT url, range AS filter_idx, request, string_agg(pubkey, ',' ORDER BY pubkey) AS authors, count(*) AS n_authors FROM dealt, range(2) GROUP BY url, range, request""")
+_add("outbox_popular_first", lambda s, d: routing.outbox_batch(_picked(s, d), (0,), per_author=1).groupBy("url").agg(F.sum("n_authors").alias("n_authors")), f"WITH {RELAYS_SQL}, picked AS (SELECT pubkey, url, count(*) OVER (PARTITION BY url) AS n FROM relays WHERE pos <= 2), best AS (SELECT pubkey, url FROM picked QUALIFY row_number() OVER (PARTITION BY pubkey ORDER BY n DESC, url) = 1) SELECT url, count(*) AS n_authors FROM best GROUP BY url")
 
 
 def _tiers(spark: SparkSession, d: str) -> DataFrame:
@@ -229,7 +193,8 @@ def _tiers(spark: SparkSession, d: str) -> DataFrame:
 
 _add("tiered_lookup", _tiers, f"""WITH {NOTES_SQL}, tiers AS (SELECT pubkey, id, CASE kind WHEN 0 THEN 0 WHEN 30023 THEN 1 ELSE 2 END AS tier FROM notes WHERE kind IN (0, 30023, 1)
   QUALIFY row_number() OVER (PARTITION BY pubkey, kind ORDER BY created_at DESC, id) = 1) SELECT pubkey, id, tier FROM tiers QUALIFY row_number() OVER (PARTITION BY pubkey ORDER BY tier) = 1""")
-_add("pointer_requests", lambda s, d: routing.pointer_requests(notes(s, d).select("kind", "pubkey", F.col("k").alias("identifier"))).select("kind", "pubkey", F.array_join("identifiers", ",").alias("identifiers")), f"WITH {NOTES_SQL} SELECT kind, pubkey, string_agg(DISTINCT k, ',' ORDER BY k) AS identifiers FROM notes GROUP BY kind, pubkey")
+_add("pointer_requests", lambda s, d: routing.pointer_requests(notes(s, d).select("kind", "pubkey", F.col("k").alias("identifier"))).select("kind", "pubkey", "request", F.array_join("identifiers", ",").alias("identifiers")), f"""WITH {NOTES_SQL}, named AS (SELECT DISTINCT kind, pubkey, k FROM notes), n AS (SELECT kind, pubkey, ceil(count(*) / {routing.REQUEST}.0) AS c FROM named GROUP BY kind, pubkey)
+SELECT kind, pubkey, CAST(('0x' || substring(sha256(k), 1, 8))::BIGINT % c AS BIGINT) AS request, string_agg(k, ',' ORDER BY k) AS identifiers FROM named JOIN n USING (kind, pubkey) GROUP BY ALL""")
 _add("relay_since", lambda s, d: routing.relay_since(notes(s, d).select(F.col("event_type").alias("url"), F.when(F.col("kind") != 5, F.col("created_at")).alias("last_attempt"))), f"WITH {NOTES_SQL} SELECT event_type AS url, CASE WHEN event_type = 'error' THEN NULL ELSE min(created_at) END AS since FROM notes GROUP BY event_type")
 
 # Synchronisation
@@ -247,7 +212,7 @@ def _now(spark: SparkSession, d: str) -> int:
 
 
 _add("outbox_bounds", _bounds, _BOUNDS_SQL + " SELECT * FROM bounds")
-_add("outbox_bounds_map", lambda s, d: _bounds(s, d).groupBy("pubkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "kind", "oldest", "newest"))), ",").alias("kinds")), _BOUNDS_SQL + " SELECT pubkey, string_agg(concat_ws(':', kind, oldest, newest), ',' ORDER BY concat_ws(':', kind, oldest, newest)) AS kinds FROM bounds GROUP BY pubkey")
+_add("outbox_bounds_map", lambda s, d: store.bounds_map(_bounds(s, d)).select("pubkey", F.array_join(F.array_sort(F.transform(F.map_entries("kinds"), lambda e: F.concat_ws(":", e["key"], e["value"][0], e["value"][1]))), ",").alias("kinds")), _BOUNDS_SQL + " SELECT pubkey, string_agg(concat_ws(':', kind, oldest, newest), ',' ORDER BY concat_ws(':', kind, oldest, newest)) AS kinds FROM bounds GROUP BY pubkey")
 _add("synced_up_to", lambda s, d: sync.synced_up_to(_bounds(s, d), [0, 1, 30023]), _BOUNDS_SQL + " SELECT pubkey, CASE WHEN count(*) FILTER (kind IN (0, 1, 30023)) = 3 THEN min(newest) FILTER (kind IN (0, 1, 30023)) END AS synced FROM bounds GROUP BY pubkey")
 _add("is_synced", lambda s, d: sync.is_synced(_bounds(s, d), [1, 7], _now(s, d), 5 * 86400), _BOUNDS_SQL + " SELECT pubkey, coalesce(count(*) FILTER (kind IN (1, 7)) = 2 AND min(newest) FILTER (kind IN (1, 7)) > any_value(now) - 432000, false) AS is_synced FROM bounds, t GROUP BY pubkey")
 _add("backfill_plan", lambda s, d: sync.backfill_plan(_bounds(s, d), [0, 1], _now(s, d) - 25 * 86400), _BOUNDS_SQL + " SELECT pubkey, count(*) FILTER (kind IN (0, 1)) < 2 OR max(oldest) FILTER (kind IN (0, 1) AND oldest >= now - 2160000) IS NOT NULL AS need, max(oldest) FILTER (kind IN (0, 1) AND oldest >= now - 2160000) AS until FROM bounds, t GROUP BY pubkey")
@@ -274,6 +239,97 @@ SELECT n.pubkey, n.id FROM notes n LEFT JOIN s ON s.pubkey = n.pubkey WHERE kind
 _add("bounds_raise", lambda s, d: sync.raise_bounds(_bounds(s, d).where("kind = 1"), notes(s, d).where("kind = 7"), notes(s, d).select("pubkey", "kind").where("kind in (1, 7)").distinct(), NOW), _BOUNDS_SQL + f" SELECT pubkey, kind, oldest, {NOW} AS newest FROM bounds WHERE kind IN (1, 7)")
 
 
+# A whole store
+
+
+def _store(spark: SparkSession) -> store.EventStore:
+    out = store.EventStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", buckets=8)
+    out.create()
+    return out
+
+
+_ALL = [0, 1, 5, 7, 30023]
+_KEPT_SQL = f"""WITH {NOTES_SQL}, kept AS (SELECT * FROM notes QUALIFY kind NOT IN (0, 30023) OR row_number() OVER (PARTITION BY pubkey, kind, CASE WHEN kind = 30023 THEN k END ORDER BY created_at DESC, id) = 1)
+SELECT id, pubkey, kind FROM kept e"""
+_ALIVE_SQL = _KEPT_SQL + " WHERE NOT (kind = 30023 AND EXISTS (SELECT 1 FROM notes x WHERE x.kind = 5 AND x.pubkey = e.pubkey AND x.k = e.k AND x.created_at >= e.created_at))"
+
+
+def _store_save(spark: SparkSession, d: str) -> DataFrame:
+    """Two halves saved one after the other, the second with all rows of the first again."""
+    own, n = _store(spark), notes(spark, d)
+    own.save(n.where("created_at % 2 = 0"))
+    own.save(n)
+    return own.events().select("id", "pubkey", "kind")
+
+
+def _store_delete(spark: SparkSession, d: str) -> DataFrame:
+    own = _store(spark)
+    own.save(notes(spark, d))
+    own.delete([Filter(kinds=[1], authors=["1", "2", "3"]), Filter(tags={"k": ["4"]})])
+    own.apply_deletions()
+    return own.events().select("id", "pubkey", "kind")
+
+
+def _store_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A filter on the stored files: its conditions reach the Parquet scan."""
+    own = _store(spark)
+    own.save(notes(spark, d))
+    return filters.matching(own.events(), Filter(authors=["8", "46", "3"], kinds=[1, 7], since=NOW - 10 * 365 * 86400)).select("id", "pubkey", "kind")
+
+
+def _store_attempts(spark: SparkSession, d: str) -> DataFrame:
+    own, n = _store(spark), notes(spark, d)
+    own.save(n, last_attempt=NOW)
+    own.attempt(n.where("kind = 0"), NOW - 5)
+    specs = n.where("kind in (0, 30023)").groupBy("kind", "pubkey", F.when(F.col("kind") == 30023, F.col("k")).otherwise(F.lit("")).alias("d")).agg(F.min(F.col("id").cast("long")).alias("pos"))
+    return own.load_replaceables(specs).select("pos", "last_attempt", F.get("events", F.lit(0))["id"].alias("id"))
+
+
+def _sync_run(spark: SparkSession, d: str) -> DataFrame:
+    """A store that knows what is older than ten days is brought up to now."""
+    own, n, now = _store(spark), notes(spark, d), _now(spark, d)
+    old = n.where(F.col("created_at") < now - 10 * 86400)
+    own.save(old)
+    own.apply_deletions()
+    own.set_bounds(sync.bounds_of(old))
+    sync.run_sync(own, n, n.select("pubkey").distinct(), _ALL, now)
+    return own.events().select("id", "pubkey", "kind")
+
+
+def _sync_bounds(spark: SparkSession, d: str) -> DataFrame:
+    own, n, now = _store(spark), notes(spark, d), _now(spark, d)
+    own.set_bounds(sync.bounds_of(n.where(F.col("created_at") < now - 10 * 86400)))
+    sync.run_sync(own, n, n.select("pubkey").distinct(), [1, 7], now, 0)
+    return own.bounds()
+
+
+def _backfill_run(spark: SparkSession, d: str) -> DataFrame:
+    """A store that knows the last ten days only is filled back to the first event."""
+    own, n, now = _store(spark), notes(spark, d), _now(spark, d)
+    new = n.where(F.col("created_at") >= now - 10 * 86400)
+    own.save(new)
+    own.set_bounds(sync.bounds_of(n.withColumn("created_at", F.greatest("created_at", F.lit(now - 10 * 86400)))))
+    sync.run_backfill(own, n, _ALL, 0)
+    own.apply_deletions()
+    return own.events().select("id", "pubkey", "kind")
+
+
+_add("store_save", _store_save, _KEPT_SQL)
+_add("store_delete", _store_delete, _ALIVE_SQL + " AND NOT (kind = 1 AND pubkey IN ('1', '2', '3')) AND k <> '4'")
+_add("store_scan", _store_scan, _KEPT_SQL + f" WHERE pubkey IN ('8', '46', '3') AND kind IN (1, 7) AND created_at >= {NOW - 10 * 365 * 86400}")
+_add("store_attempts", _store_attempts, f"""WITH {NOTES_SQL}, specs AS (SELECT kind, pubkey, CASE kind WHEN 30023 THEN k ELSE '' END AS d, min(CAST(id AS BIGINT)) AS pos FROM notes WHERE kind IN (0, 30023) GROUP BY ALL),
+newest AS (SELECT kind, pubkey, CASE kind WHEN 30023 THEN k ELSE '' END AS d, id FROM notes WHERE kind IN (0, 30023) QUALIFY row_number() OVER (PARTITION BY kind, pubkey, CASE kind WHEN 30023 THEN k ELSE '' END ORDER BY created_at DESC, id) = 1)
+SELECT pos, {NOW}::BIGINT AS last_attempt, id FROM specs LEFT JOIN newest USING (kind, pubkey, d)""")
+_add("sync_run", _sync_run, _ALIVE_SQL)
+_add("sync_bounds", _sync_bounds, _BOUNDS_SQL + """, known AS (SELECT pubkey, kind, min(created_at) AS oldest, max(created_at) AS newest FROM notes, t WHERE created_at < now - 864000 GROUP BY pubkey, kind),
+s AS (SELECT pubkey, CASE WHEN count(*) FILTER (kind IN (1, 7)) = 2 THEN min(newest) FILTER (kind IN (1, 7)) END AS synced FROM known GROUP BY pubkey),
+f AS (SELECT n.pubkey, n.kind, min(created_at) AS oldest FROM notes n LEFT JOIN s ON s.pubkey = n.pubkey WHERE kind IN (1, 7) AND (synced IS NULL OR created_at >= synced) GROUP BY n.pubkey, n.kind),
+a AS (SELECT pubkey, kind FROM (SELECT DISTINCT pubkey FROM notes), (VALUES (1), (7)) v(kind))
+SELECT coalesce(a.pubkey, k.pubkey) AS pubkey, coalesce(a.kind, k.kind) AS kind, CASE WHEN a.pubkey IS NULL THEN k.oldest ELSE least(coalesce(k.oldest, now), coalesce(f.oldest, now)) END AS oldest, CASE WHEN a.pubkey IS NULL THEN k.newest ELSE now END AS newest
+FROM a FULL JOIN known k ON k.pubkey = a.pubkey AND k.kind = a.kind LEFT JOIN f ON f.pubkey = a.pubkey AND f.kind = a.kind, t""")
+_add("backfill_run", _backfill_run, _ALIVE_SQL)
+
+
 def _backoff(spark: SparkSession, d: str) -> DataFrame:
     n = notes(spark, d)
     what = F.when(F.col("kind") == 5, "failure").when(F.col("kind") == 0, "success").otherwise("ask")
@@ -319,14 +375,15 @@ _ITEM_SQL: dict[str, dict[int, str]] = {
 
 def _list_query(name: str, spec: lists.ListSpec) -> None:
     case = "CASE m " + " ".join(f"WHEN {m} THEN {x}" for m, x in _ITEM_SQL[name].items()) + " END"
-    keys = "pubkey, event_type" if spec.is_set else "pubkey"
+    author = f"pubkey || '-' || (pos // {LIST_SPAN})"
+    keys, groups = (f"{author} AS pubkey, event_type", f"{author}, event_type") if spec.is_set else (f"{author} AS pubkey", author)
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         found = lists.load_set(set_events(spark, d, spec.kind), spec) if spec.is_set else lists.load_list(list_events(spark, d, spec.kind), spec)
         own = ["pubkey", F.col("title").alias("event_type")] if spec.is_set else ["pubkey"]
         return found.select(*own, F.size("items").cast("long").alias("n_items"), F.array_join(F.transform("items", _text), ",").alias("items"))
 
-    _add(f"list_parse_{name}", run, f"WITH {TAGS_SQL} SELECT {keys}, count({case}) AS n_items, coalesce(string_agg({case}, ',' ORDER BY pos), '') AS items FROM rows_ GROUP BY {keys}")
+    _add(f"list_parse_{name}", run, f"WITH {TAGS_SQL} SELECT {keys}, count({case}) AS n_items, coalesce(string_agg({case}, ',' ORDER BY pos), '') AS items FROM rows_ GROUP BY {groups}")
 
 
 def _items_query(name: str, spec: lists.ListSpec) -> None:
@@ -353,7 +410,9 @@ def _follow_sets(n: DataFrame) -> DataFrame:
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
     n = notes(spark, d)
     pointer = F.array(tag("a", F.concat_ws(":", F.lit("30000"), F.sha2(F.col("pubkey").cast("binary"), 256), "k")))
-    named = n.where("kind = 1").groupBy("pubkey").agg(F.array_sort(F.collect_list(F.struct(F.col("id").cast("long").alias("i"), pointer[0].alias("t")))).alias("l"))
+    # A list for each author and LIST_SPAN ids: none grows with the table.
+    author = F.concat_ws("-", "pubkey", F.floor(F.col("id").cast("long") / LIST_SPAN).cast("string"))
+    named = n.where("kind = 1").groupBy(author.alias("pubkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("id").cast("long").alias("i"), pointer[0].alias("t")))).alias("l"))
     given = named.select("pubkey", lists.items(F.transform("l", lambda x: x["t"]), lists.SPECS["favorite_follow_sets"].parse).alias("items"))
     full = lists.resolve_pointers(given, _follow_sets(n))
     first = F.transform("items", lambda i: F.coalesce(F.get(i["set_items"], F.lit(0))["value"], F.lit("-")))
@@ -361,7 +420,7 @@ def _resolved(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("pointer_resolve", _resolved, f"""WITH {NOTES_SQL}, sets AS (SELECT pubkey, k, sha256(id) AS v FROM notes WHERE kind = 30023 QUALIFY row_number() OVER (PARTITION BY pubkey, k ORDER BY created_at DESC, id) = 1)
-SELECT n.pubkey, string_agg(coalesce(s.v, '-'), ',' ORDER BY CAST(n.id AS BIGINT)) AS found FROM notes n LEFT JOIN sets s ON s.pubkey = n.pubkey AND s.k = n.k WHERE n.kind = 1 GROUP BY n.pubkey""")
+SELECT n.pubkey || '-' || (CAST(n.id AS BIGINT) // {LIST_SPAN}) AS pubkey, string_agg(coalesce(s.v, '-'), ',' ORDER BY CAST(n.id AS BIGINT)) AS found FROM notes n LEFT JOIN sets s ON s.pubkey = n.pubkey AND s.k = n.k WHERE n.kind = 1 GROUP BY 1""")
 
 
 def _resolved_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -424,8 +483,7 @@ _add("tag_explode", lambda s, d: tag_rows(s, d).where(F.get("tag", F.lit(0)).isi
 
 def _stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """All events twice through a stream of files; each id comes out once."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    out = f"{base}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = table(spark, d, "events")
     # Four files, two a batch, so that copies meet across batches.
     events.unionByName(events).repartition(4).write.parquet(f"{out}/files")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary folder where a local session has none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="spark-heronlake-")
+
+
 def seconds(ts: Column) -> Column:
     """Epoch seconds of a timestamp without a zone."""
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
@@ -42,15 +55,6 @@ NOTES_SQL = """notes AS (
 
 
 def follows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges (src, dst)."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 45 and l_discount >= 0.09")
-    return lines.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst")).distinct()
-
-
-FOLLOWS_SQL = "follows AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 100 AS dst FROM lineitem WHERE l_quantity >= 45 AND l_discount >= 0.09)"
-
-
-def whole_follows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges (src, dst) of all rows: a supplier follows, for each part it sells, the supplier of the part's first order line."""
     lines = table(spark, sf_dir, "lineitem")
     first = lines.groupBy("l_partkey").agg(F.min(F.struct("l_orderkey", "l_linenumber", "l_suppkey")).alias("line"))
@@ -58,8 +62,8 @@ def whole_follows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.join(first, "l_partkey").select("src", F.col("line.l_suppkey").alias("dst")).distinct()
 
 
-WHOLE_FOLLOWS_SQL = """first_lines AS (SELECT l_partkey, l_suppkey AS dst FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) = 1),
-whole_follows AS (SELECT DISTINCT l_suppkey AS src, dst FROM lineitem JOIN first_lines USING (l_partkey))"""
+FOLLOWS_SQL = """first_lines AS (SELECT l_partkey, l_suppkey AS dst FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) = 1),
+follows AS (SELECT DISTINCT l_suppkey AS src, dst FROM lineitem JOIN first_lines USING (l_partkey))"""
 
 
 def relay_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,14 +100,20 @@ TAGS_SQL = """rows_ AS (SELECT CAST(user_id AS VARCHAR) AS pubkey, event_type, e
     json_extract_string(props, '$.k') AS k, sha256(json_extract_string(props, '$.k')) AS h FROM events)"""
 
 
+#: Each made list event holds the tags of so many events at most.
+LIST_SPAN = 64
+
+
 def list_events(spark: SparkSession, sf_dir: str, kind: int) -> DataFrame:
-    """One event of a kind for each user, with all of its tags."""
-    rows = tag_rows(spark, sf_dir).groupBy("pubkey").agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("l"))
+    """Events of a kind that hold all tags between them: an author for each user and LIST_SPAN ids, so that no event grows with the table."""
+    author = F.concat_ws("-", "pubkey", F.floor(F.col("pos") / LIST_SPAN).cast("string"))
+    rows = tag_rows(spark, sf_dir).groupBy(author.alias("pubkey")).agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("l"))
     return rows.select(F.col("pubkey").alias("id"), "pubkey", F.lit(kind).alias("kind"), F.lit(1).cast("long").alias("created_at"), F.transform("l", lambda x: x["tag"]).alias("tags"))
 
 
 def set_events(spark: SparkSession, sf_dir: str, kind: int) -> DataFrame:
-    """An event for each user and event type, which is its identifier."""
-    rows = tag_rows(spark, sf_dir).groupBy("pubkey", "event_type").agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("l"))
+    """The same with an event for each event type, which is its identifier."""
+    author = F.concat_ws("-", "pubkey", F.floor(F.col("pos") / LIST_SPAN).cast("string"))
+    rows = tag_rows(spark, sf_dir).groupBy(author.alias("pubkey"), "event_type").agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("l"))
     tags = F.concat(F.array(tag("d", F.col("event_type")), tag("title", "")), F.transform("l", lambda x: x["tag"]))
     return rows.select(F.concat_ws(":", "pubkey", "event_type").alias("id"), "pubkey", F.lit(kind).alias("kind"), F.lit(1).cast("long").alias("created_at"), tags.alias("tags"))

@@ -32,28 +32,28 @@ def test_query(spark, duck, name):
     assert got == expected
 
 
-def test_whole_follows_keep_every_row(spark, tmp_path):
+def test_follows_keep_every_row(spark, tmp_path):
     from heronlake.operators import graph
-    from heronlake.plans.tables import whole_follows
+    from heronlake.plans.tables import follows
 
-    # (order, line, part, supplier); no row passes the old cut by quantity and discount, and parts exceed 100.
+    # (order, line, part, supplier); parts are more than suppliers.
     rows = [(1, 1, 500, 1), (2, 1, 900, 2), (2, 2, 500, 3), (3, 1, 900, 1), (4, 1, 1300, 4), (5, 1, 1300, 2)]
     lines = spark.createDataFrame([(*r, 1.0, 0.0) for r in rows], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double")
     lines.write.parquet(str(tmp_path / "lineitem.parquet"))
-    edges = whole_follows(spark, str(tmp_path))
+    edges = follows(spark, str(tmp_path))
     assert {tuple(r) for r in edges.collect()} == {(1, 1), (2, 2), (3, 1), (1, 2), (4, 4), (2, 4)}
     assert {r[0] for r in graph.web_of_trust(edges, 1).collect()} == {1, 2, 4}
 
 
 def test_whole_lookups_reach_every_author(spark, duck):
-    from heronlake.plans.tables import whole_follows
+    from heronlake.plans.tables import follows
 
     authors, pairs = duck.execute("SELECT count(DISTINCT user_id), count(DISTINCT (user_id, json_extract_string(props, '$.k'))) FROM events").fetchone()
     q = catalogue.queries()
-    assert q["load_bundles_whole"](spark, DATA).count() == authors
-    assert q["load_replaceables_whole"](spark, DATA).count() == pairs
+    assert q["load_bundles"](spark, DATA).count() == authors
+    assert q["load_replaceables"](spark, DATA).count() == pairs
     sellers = duck.execute("SELECT count(DISTINCT l_suppkey) FROM lineitem").fetchone()[0]
-    assert whole_follows(spark, DATA).select("src").distinct().count() == sellers
+    assert follows(spark, DATA).select("src").distinct().count() == sellers
 
 
 def _plan(df):
