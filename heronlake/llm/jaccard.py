@@ -302,7 +302,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     found = heads.join(_shared(heads, "mark").hint("merge"), "token", "left_semi").groupBy("mark").agg(F.count(F.lit(1)).alias("_c"))
     enough = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / SLACK))
     left = written(groups.join(found, "mark").where(F.col("_c") >= enough).select("rid", "rep_key", "rep_text", "n"), "jaccard-left")
-    texts = named.join(left, F.col("_text_key").eqNullSafe(F.col("rep_text")) & F.col("_key").eqNullSafe(F.col("rep_key"))).select("rid", "n", "_text")
+    texts = named.join(left.hint("merge"), F.col("_text_key").eqNullSafe(F.col("rep_text")) & F.col("_key").eqNullSafe(F.col("rep_key"))).select("rid", "n", "_text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_bytes(batches, 2, 3 << 20):
