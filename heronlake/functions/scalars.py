@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -50,8 +50,23 @@ def url_without_scheme(c: Column) -> Column:
     return F.regexp_replace(cut, "/+$", "")
 
 
+def unique(*arrays: Column) -> Column:
+    """All values of several arrays, each once, in the order of their first place."""
+    return F.array_distinct(F.concat(*arrays))
+
+
+def append_unique(target: Column, new: Column) -> Column:
+    """An array with the values of another that it lacks."""
+    return F.concat(target, F.array_except(new, target))
+
+
+def without(array: Column, *others: Column) -> Column:
+    """The values of an array that stand in none of the others; repeats stay."""
+    return F.filter(array, lambda x: ~F.array_contains(F.concat(*others), x))
+
+
 def normalize_url(c: Column) -> Column:
-    """A relay URL in one form: ws scheme, lower-case host, no fragment or default port, ``/`` on a bare host, no trailing slash on a path."""
+    """A relay URL in one form: ws scheme, lower-case host, no fragment or default port, ``/`` on a bare host, single slashes, no trailing one on a path, parameters in order of their names."""
     out = F.regexp_replace(F.trim(c), "#.*$", "")
     out = F.regexp_replace(out, "^http", "ws")
     head = F.regexp_extract(out, "^(wss?://[^/?]*)", 1)
@@ -59,7 +74,14 @@ def normalize_url(c: Column) -> Column:
     out = F.regexp_replace(out, "^(ws://[^/?]*):80(/|\\?|$)", "$1$2")
     out = F.regexp_replace(out, "^(wss://[^/?]*):443(/|\\?|$)", "$1$2")
     out = F.regexp_replace(out, "^(wss?://[^/?]+)$", "$1/")
-    return F.regexp_replace(out, "^(wss?://[^/?]+/[^?]*[^/?])/+(\\?|$)", "$1$2")
+    base, start = F.substring_index(out, "?", 1), F.instr(out, "?")
+    host = F.regexp_extract(base, "^(wss?://[^/]*)", 1)
+    path = F.regexp_replace(F.substring(base, F.length(host) + 1, F.length(base)), "/+", "/")
+    base = F.when(host == "", base).otherwise(F.concat(host, F.when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise(path)))
+    # A stable sort by name alone.
+    named = F.transform(F.split(F.substring(out, start + 1, F.length(out)), "&"), lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("name"), i.alias("i"), p.alias("p")))
+    query = F.array_join(F.transform(F.array_sort(named), lambda x: x["p"]), "&")
+    return F.when(start == 0, base).otherwise(F.concat(base, F.lit("?"), query))
 
 
 def simple_url(c: Column) -> Column:
@@ -163,6 +185,24 @@ def decode_pointer(code: str) -> dict | None:
     return None
 
 
+def encode_pointer(kind: str, value: str | Mapping) -> str:
+    """The code of a pointer: what :func:`decode_pointer` gives back.
+
+    ``note`` and ``npub`` take a hex string; ``nevent``, ``nprofile`` and
+    ``naddr`` a mapping with its fields and relays.
+    """
+    if kind in ("note", "npub"):
+        return bech32_encode(kind, bytes.fromhex(str(value)))
+    main = {"nevent": lambda: bytes.fromhex(value["id"]), "nprofile": lambda: bytes.fromhex(value["pubkey"]), "naddr": lambda: value["identifier"].encode()}[kind]()
+    entries = [(0, main), *[(1, r.encode("ascii")) for r in value.get("relays", ())]]
+    author = value.get("author") if kind == "nevent" else value.get("pubkey") if kind == "naddr" else None
+    if author:
+        entries.append((2, bytes.fromhex(author)))
+    if kind == "naddr":
+        entries.append((3, int(value["kind"]).to_bytes(4, "big")))
+    return bech32_encode(kind, b"".join(bytes([t, len(x)]) + x for t, x in entries))
+
+
 def npub(c: Column) -> Column:
     """The bech32 form of a hex public key; null where it is none."""
 

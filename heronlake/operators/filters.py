@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heronlake.functions.scalars import decode_pointer
 from heronlake.operators.schema import identifier, kind_is_addressable, kind_is_replaceable
 
 MAX_LIMIT = 2500
@@ -104,3 +105,15 @@ def query_any(events: DataFrame, filters: Sequence[Filter], most: int = MAX_LIMI
     """Events of any of several filters, each once."""
     found = [query(events, f, most) for f in filters]
     return reduce(DataFrame.unionByName, found).dropDuplicates(["id"])
+
+
+def pointer_filter(code: str) -> tuple[Filter, list[str], str | None]:
+    """The filter of a hex id or a bech32 pointer to an event, with its relays and its author; an error for other codes."""
+    found = decode_pointer(code)
+    if found is None or not ("id" in found or "identifier" in found):
+        raise ValueError(f"{code} points to no event")
+    relays = found.get("relays", [])
+    if "id" in found:
+        return Filter(ids=[found["id"]]), relays, found.get("author")
+    tags = {"d": [found["identifier"]]} if found["identifier"] else {}
+    return Filter(authors=[found["pubkey"]], kinds=[found["kind"]], tags=tags, limit=1), relays, found["pubkey"]

@@ -205,3 +205,37 @@ def refresh_plan(requests: DataFrame, stored: DataFrame, attempts: DataFrame, no
     state = staleness(F.col("last_attempt"), now, ttl)
     fetch = {"default": state != "fresh", "force": F.lit(True), "cache_only": F.lit(False)}[mode]
     return known.select("pubkey", state.alias("state"), (state == "fresh").alias("is_fresh"), fetch.alias("fetch"))
+
+
+def run_refresh(store, source: DataFrame, requests: DataFrame, spec: ListSpec, now: int, provided: DataFrame | None = None, ttl: int = 2 * 86400) -> DataFrame:
+    """Load the lists of the requested authors, from the store or the ``source``: (pubkey, event_id, items, is_fresh).
+
+    ``requests`` is (pubkey, mode), one row for each author.  ``default``
+    fetches what is missing or older than ``ttl``, ``force`` everything,
+    ``cache_only`` nothing; ``provided`` saves and uses the author's event of
+    the table ``provided``; ``reset`` deletes what is stored.  What is stored
+    is used at once even if a newer version is fetched; that one is saved, so
+    the next request finds it.  An attempt is recorded for every author that
+    was fetched for, found or not.
+    """
+    requests = store.stage(requests.select("pubkey", "mode"))
+    wanted = requests.select(F.xxhash64("pubkey").alias("pos"), F.lit(spec.kind).alias("kind"), "pubkey", F.lit("").alias("d"))
+    reset = requests.where("mode = 'reset'").select("pubkey")
+    own = store.events().where(F.col("kind") == spec.kind)
+    store.delete_rows(own.join(reset, "pubkey", "left_semi"))
+    given = None
+    if provided is not None:
+        given = store.stage(newest(provided.where(F.col("kind") == spec.kind).join(requests.where("mode = 'provided'").select("pubkey"), "pubkey", "left_semi"), ["pubkey"]))
+        store.save(given, now)
+    before = wanted.select("pos", "pubkey").join(store.load_replaceables(wanted), "pos").select("pubkey", "last_attempt", F.get("events", F.lit(0)).alias("stored"))
+    state = store.stage(requests.join(before, "pubkey"))
+    old = F.col("stored").isNull() | F.col("last_attempt").isNull() | (F.col("last_attempt") < now - ttl)
+    due = state.where(((F.col("mode") == "default") & old) | (F.col("mode") == "force")).select("pubkey")
+    found = store.stage(newest(source.where(F.col("kind") == spec.kind).join(due, "pubkey", "left_semi"), ["pubkey"]))
+    store.save(found)
+    store.attempt(due.select(F.lit(spec.kind).alias("kind"), "pubkey", F.array().cast("array<array<string>>").alias("tags")), now)
+    fetched = found.select("pubkey", F.col("id").alias("_id"), F.col("tags").alias("_tags"))
+    joined = state.join(fetched, "pubkey", "left")
+    fresh = F.col("mode").isin("reset", "provided") | (F.col("stored").isNull() & F.col("_id").isNotNull())
+    tags = F.coalesce(F.col("stored")["tags"], F.col("_tags"), F.array().cast("array<array<string>>"))
+    return joined.select("pubkey", F.coalesce(F.col("stored")["id"], "_id").alias("event_id"), items(tags, spec.parse).alias("items"), fresh.alias("is_fresh"))

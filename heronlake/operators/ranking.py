@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,10 +19,30 @@ HINT_POINTS = {
 HINT_KEYS = list(HINT_POINTS)
 
 
-def popularity(items: DataFrame, owner: str = "pubkey", url: str = "url", points: float = 20.0) -> DataFrame:
-    """(url, score): each owner shares ``points`` among its urls.  Two aggregations and a join on the owner, no window over it."""
+def popularity(items: DataFrame, owner: str = "pubkey", url: str = "url", points: float = 20.0, blocked: DataFrame | None = None) -> DataFrame:
+    """(url, score): each owner shares ``points`` among its urls.
+
+    Urls of ``blocked`` (url) are left out; their part of an owner's points is
+    lost.  Two aggregations and a join on the owner, no window over it.
+    """
     shares = items.groupBy(owner).agg((F.lit(points) / F.count(F.lit(1))).alias("_share"))
-    return items.join(shares, owner).groupBy(url).agg(F.sum("_share").alias("score"))
+    counted = items if blocked is None else items.join(blocked.select(F.col("url").alias(url)), url, "left_anti")
+    return counted.join(shares, owner).groupBy(url).agg(F.sum("_share").alias("score"))
+
+
+def famous(scores: DataFrame, url: str = "url") -> DataFrame:
+    """Scores with the most popular first, ties by name."""
+    return scores.orderBy(F.col("score").desc(), url)
+
+
+def export_hints(hints: DataFrame, folder: str) -> None:
+    """Write the state of hints as JSON lines."""
+    hints.select("pubkey", "relay", "hint_key", "ts").write.mode("overwrite").json(folder)
+
+
+def import_hints(spark: SparkSession, folder: str) -> DataFrame:
+    """Hints as they were exported."""
+    return spark.read.schema("pubkey string, relay string, hint_key int, ts long").json(folder)
 
 
 def save_hints(old: DataFrame, new: DataFrame) -> DataFrame:

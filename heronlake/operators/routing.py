@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heronlake.functions.scalars import backoff_seconds
+
 Picker = Callable[[Column], Column]
 #: Authors or identifiers of one request.
 REQUEST = 500
@@ -39,6 +41,17 @@ def pick(relay_lists: DataFrame, picker: Picker | None = None, fallback: Sequenc
     return relay_lists.select("pubkey", F.explode(urls).alias("url")).distinct()
 
 
+def resting(state: DataFrame, now: int) -> DataFrame:
+    """(url) of the relays that may not be asked yet: a row of ``state`` (url, failures, last_attempt) for each."""
+    return state.where((F.col("failures") > 0) & (F.col("last_attempt") + backoff_seconds(F.col("failures")) >= now)).select("url")
+
+
+def pick_allowed(relays: DataFrame, blocked: DataFrame, k: int = 2) -> DataFrame:
+    """(pubkey, url): the first ``k`` of each author's relays (pubkey, pos, url) that are not ``blocked`` (url)."""
+    w = W.partitionBy("pubkey").orderBy("pos")
+    return relays.join(blocked, "url", "left_anti").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("pubkey", "url")
+
+
 def outbox_batch(picked: DataFrame, filters: Sequence[int] = (0,), per_author: int | None = None) -> DataFrame:
     """(url, filter_idx, request, authors, n_authors): requests for each relay and filter, of about REQUEST sorted authors each.
 

@@ -202,6 +202,10 @@ class EventStore:
             self._replace(self._read("events", touched).join(found.select("id"), "id", "left_anti"), touched)
         return found.select("id")
 
+    def delete_rows(self, found: DataFrame) -> DataFrame:
+        """Delete the events of some rows (id, pubkey) and return the ids."""
+        return self._remove(found)
+
     def delete(self, filters: Sequence[Filter | Mapping], limit: int | None = None) -> DataFrame:
         """Delete what the filters match, each up to its limit if there is one, and return the ids."""
         found = self.spark.createDataFrame([], "id string, pubkey string")

@@ -14,6 +14,7 @@ from heronlake.operators import filters, graph, latest, lists, profiles, ranking
 from heronlake.operators.filters import Filter
 from heronlake.operators.schema import is_addressable, is_replaceable
 from heronlake.plans.tables import FOLLOWS_SQL, LIST_SPAN, NOTES_SQL, NOW, RELAYS_SQL, TAGS_SQL, follows, list_events, notes, relay_items, set_events, shared_dir, table, tag, tag_rows
+from heronlake.sources import events as raw_events
 from heronlake.streaming import tail
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,6 +155,17 @@ _add("wot_two_hop", lambda s, d: graph.web_of_trust(follows(s, d), 1, follows(s,
 _add("wot_with_direct", lambda s, d: graph.web_of_trust(follows(s, d), 1, None, include_direct=True), _WOT + " UNION SELECT dst FROM follows WHERE src = 1")
 
 _add("globalism", lambda s, d: ranking.popularity(relay_items(s, d)).select("url", F.round("score", 6).alias("score")), f"WITH {RELAYS_SQL} SELECT url, round(sum(share), 6) AS score FROM (SELECT url, 20.0 / count(*) OVER (PARTITION BY pubkey) AS share FROM relays) GROUP BY url")
+def _resting(spark: SparkSession, d: str) -> DataFrame:
+    """Event types as relays that rest: as many failures as the type's first user has errors, the last attempt at the last event."""
+    n = notes(spark, d)
+    state = n.groupBy(F.col("event_type").alias("url")).agg(F.max(F.when(F.col("k").cast("int") % 3 == 0, 2).otherwise(0)).alias("failures"), F.max("created_at").alias("last_attempt"))
+    return routing.resting(state.where("url in ('click', 'error')").unionByName(state.where("url not in ('click', 'error')").withColumn("last_attempt", F.col("last_attempt") - 900)), _now(spark, d))
+
+
+#: Only these types can rest: the others' last attempts are long enough ago.
+_RESTING_SQL = "resting AS (SELECT event_type AS url FROM notes GROUP BY event_type HAVING max(CASE WHEN CAST(k AS INT) % 3 = 0 THEN 2 ELSE 0 END) > 0 AND max(created_at) - CASE WHEN event_type IN ('click', 'error') THEN 0 ELSE 900 END + 240 >= (SELECT max(created_at) FROM notes))"
+_add("globalism_allowed", lambda s, d: ranking.famous(ranking.popularity(relay_items(s, d), blocked=_resting(s, d))).select("url", F.round("score", 6).alias("score")), f"WITH {RELAYS_SQL}, {_RESTING_SQL} SELECT url, round(sum(share), 6) AS score FROM (SELECT url, 20.0 / count(*) OVER (PARTITION BY pubkey) AS share FROM relays) WHERE url NOT IN (SELECT url FROM resting) GROUP BY url")
+_add("relay_pick_allowed", lambda s, d: routing.pick_allowed(relay_items(s, d), _resting(s, d)), f"WITH {RELAYS_SQL}, {_RESTING_SQL} SELECT pubkey, url FROM relays WHERE url NOT IN (SELECT url FROM resting) QUALIFY row_number() OVER (PARTITION BY pubkey ORDER BY pos) <= 2")
 _add("relay_popularity", lambda s, d: routing.batch_sizes(relay_items(s, d)), f"WITH {RELAYS_SQL} SELECT url, count(DISTINCT pubkey) AS n_authors FROM relays GROUP BY url")
 
 _HINT_SQL = f"""WITH {NOTES_SQL}, hints AS (SELECT pubkey, event_type AS relay, CAST(k AS INT) % 7 AS hint_key, max(created_at) AS ts FROM notes GROUP BY ALL),
@@ -166,6 +178,15 @@ def _hints(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("hint_state", _hints, f"WITH {NOTES_SQL} SELECT pubkey, event_type AS relay, CAST(k AS INT) % 7 AS hint_key, max(created_at) AS ts FROM notes GROUP BY ALL")
+
+
+def _hint_export(spark: SparkSession, d: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/hints-{uuid.uuid4().hex}"
+    ranking.export_hints(_hints(spark, d), folder)
+    return ranking.import_hints(spark, folder)
+
+
+_add("hint_export", _hint_export, _SQL["hint_state"])
 _add("hint_scores", lambda s, d: ranking.hint_scores(_hints(s, d), NOW).select("pubkey", "relay", F.round("score", 3).alias("score")), _HINT_SQL + " SELECT pubkey, relay, round(score, 3) AS score FROM scores")
 _add("hint_topn", lambda s, d: ranking.top_relays(ranking.hint_scores(_hints(s, d), NOW).withColumn("score", F.round("score", 3)), 2), _HINT_SQL + " SELECT pubkey, relay, s AS score, row_number() OVER (PARTITION BY pubkey ORDER BY s DESC, relay) AS rank FROM (SELECT pubkey, relay, round(score, 3) AS s FROM scores) QUALIFY rank <= 2")
 
@@ -434,6 +455,42 @@ _add("pointer_rows", _resolved_rows, f"""WITH {NOTES_SQL}, sets AS (SELECT pubke
 SELECT n.pubkey, CAST(n.id AS BIGINT) AS pos, coalesce(s.v, '-') AS found FROM notes n LEFT JOIN sets s ON s.pubkey = n.pubkey AND s.k = n.k WHERE n.kind = 1""")
 
 
+def _resolve(spark: SparkSession, d: str, spec: str, pointed: str, tags: Column) -> DataFrame:
+    """The items of lists of one kind, as rows, with the sets of another that they point to."""
+    n = notes(spark, d).where("kind = 30023")
+    owner = F.sha2(F.col("k").cast("binary"), 256)
+    sets = n.select("id", owner.alias("pubkey"), F.lit(lists.SPECS[pointed].kind).alias("kind"), "created_at", tags.alias("tags"))
+    rows = lists.item_rows(tag_rows(spark, d), lists.SPECS[spec].parse)
+    full = lists.resolve_rows(rows, lists.load_set(sets, lists.SPECS[pointed]))
+    return full.select("pubkey", "pos", F.coalesce(F.get("set_items", F.lit(0))["value"], F.get("set_items", F.lit(0))["url"], F.col("item")["value"], F.col("item")["url"], F.lit("-")).alias("found"))
+
+
+_POINTED_SQL = """newest AS (SELECT k, id FROM notes WHERE kind = 30023 QUALIFY row_number() OVER (PARTITION BY k ORDER BY created_at DESC, id) = 1)"""
+_add("resolve_relays", lambda s, d: _resolve(s, d, "favorite_relays", "relay_sets", F.array(tag("d", F.concat(F.lit("x:"), "k")), tag("relay", F.concat(F.lit("wss://"), "id", F.lit(".example.com/"))))), f"""WITH {NOTES_SQL}, {TAGS_SQL}, {_POINTED_SQL}
+SELECT r.pubkey, r.pos, CASE WHEN m = 2 THEN 'wss://host' || r.k || '.example.com/' ELSE coalesce('wss://' || n.id || '.example.com/', '-') END AS found FROM rows_ r LEFT JOIN newest n ON n.k = r.k WHERE m IN (2, 4)""")
+_add("resolve_emojis", lambda s, d: _resolve(s, d, "emojis", "emoji_sets", F.array(tag("d", F.concat(F.lit("e"), "k")), tag("emoji", F.concat(F.lit("z"), "k"), F.concat(F.lit("http://z/"), "id")))), f"""WITH {NOTES_SQL}, {TAGS_SQL}, {_POINTED_SQL}
+SELECT r.pubkey, r.pos, CASE WHEN m = 11 THEN 'http://e/' || r.k ELSE coalesce('http://z/' || n.id, '-') END AS found FROM rows_ r LEFT JOIN newest n ON n.k = r.k WHERE m IN (11, 15)""")
+
+
+def _refresh_run(spark: SparkSession, d: str) -> DataFrame:
+    """Mute lists of all authors: the store holds those of even users, tried just now for every third; each author asks in a mode by its number."""
+    own, now = _store(spark), NOW
+    spec = lists.SPECS["mutes"]
+    who = table(spark, d, "events").select(F.col("user_id").alias("u")).distinct()
+    event = lambda rows, tag_value, at: rows.select(F.concat(F.col("u").cast("string"), F.lit(f":{tag_value}")).alias("id"), F.col("u").cast("string").alias("pubkey"), F.lit(spec.kind).alias("kind"), F.lit(at).cast("long").alias("created_at"), F.lit("").alias("sig"), F.array(tag("word", tag_value)).alias("tags"), F.lit("").alias("content"), F.lit(None).cast("array<string>").alias("seen_on"))
+    own.save(event(who.where("u % 2 = 0"), "old", 10), now - 9 * 86400)
+    own.attempt(event(who.where("u % 6 = 0"), "old", 10), now - 60)
+    mode = F.element_at(F.array(*[F.lit(m) for m in ("default", "force", "cache_only", "provided", "reset")]), (F.col("u") % 5 + 1).cast("int"))
+    found = lists.run_refresh(own, event(who.where("u % 7 <> 0"), "new", 20), who.select(F.col("u").cast("string").alias("pubkey"), mode.alias("mode")), spec, now, event(who, "given", 30))
+    return found.select("pubkey", F.coalesce(F.get("items", F.lit(0))["value"], F.lit("-")).alias("word"), "is_fresh")
+
+
+_add("refresh_run", _refresh_run, """SELECT CAST(u AS VARCHAR) AS pubkey,
+  CASE WHEN u % 5 = 4 THEN '-' WHEN u % 5 = 3 THEN 'given' WHEN u % 2 = 0 THEN 'old' WHEN u % 5 IN (0, 1) AND u % 7 <> 0 THEN 'new' ELSE '-' END AS word,
+  u % 5 IN (3, 4) OR (u % 5 IN (0, 1) AND u % 2 = 1 AND u % 7 <> 0) AS is_fresh
+FROM (SELECT DISTINCT user_id AS u FROM events)""")
+
+
 def _profile(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     name = F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_name"))
@@ -475,6 +532,9 @@ def _addresses(spark: SparkSession, d: str) -> DataFrame:
 _add("addr_split", _addresses, f"WITH {NOTES_SQL} SELECT id, '30023' AS kind, CASE WHEN CAST(k AS INT) % 2 = 0 THEN k ELSE k || ':x' END AS identifier, CAST(k AS INT) % 2 = 0 AS is_address, true AS is_hex FROM notes")
 _add("get_tag_or", lambda s, d: notes(s, d).select("id", S.tag_or(F.col("tags"), "d", "none").alias("d"), S.tag_or(F.col("tags"), "t", "none").alias("t"), S.tag_or(F.col("tags"), "zz", "none").alias("zz")), f"WITH {NOTES_SQL} SELECT id, CASE WHEN kind = 30023 THEN k ELSE 'none' END AS d, event_type AS t, 'none' AS zz FROM notes")
 _add("backoff_seconds", lambda s, d: table(s, d, "lineitem").select("l_linenumber").distinct().select("l_linenumber", S.backoff_seconds(F.col("l_linenumber")).cast("long").alias("seconds"), S.relays_per_user(F.col("l_linenumber") * 300).cast("long").alias("relays")), "SELECT DISTINCT l_linenumber, CAST(least(l_linenumber * 120, 600) AS BIGINT) AS seconds, CAST(CASE WHEN l_linenumber * 300 < 100 THEN 4 WHEN l_linenumber * 300 < 800 THEN 3 WHEN l_linenumber * 300 < 1200 THEN 2 ELSE 1 END AS BIGINT) AS relays FROM lineitem")
+_add("array_helpers", lambda s, d: notes(s, d).select("id", F.array_join(S.unique(F.array("k", "event_type"), F.array("event_type", "k", "pubkey")), ",").alias("u"), F.array_join(S.append_unique(F.array("k", "k"), F.array("pubkey", "k")), ",").alias("a"), F.array_join(S.without(F.array("k", "pubkey", "k"), F.array(F.lit("3")), F.array(F.lit("5"))), ",").alias("w")), f"""WITH {NOTES_SQL}
+SELECT id, CASE WHEN pubkey = k THEN k || ',' || event_type ELSE concat_ws(',', k, event_type, pubkey) END AS u, CASE WHEN pubkey = k THEN k || ',' || k ELSE concat_ws(',', k, k, pubkey) END AS a, array_to_string(list_filter([k, pubkey, k], lambda x: x NOT IN ('3', '5')), ',') AS w FROM notes""")
+_add("json_round_trip", lambda s, d: raw_events.serialize(notes(s, d)).select(raw_events.parse(F.col("raw")).alias("e")).select("e.id", "e.pubkey", "e.kind", "e.created_at", F.size("e.tags").alias("n_tags"), F.get(F.col("e.tags"), F.lit(0))[1].alias("first")), f"WITH {NOTES_SQL} SELECT id, pubkey, kind, created_at, CASE WHEN kind IN (5, 30023) THEN 3 ELSE 2 END AS n_tags, event_type AS first FROM notes")
 _add("kind_class", lambda s, d: notes(s, d).select("id", F.when(is_addressable(F.col("kind")), "addressable").when(is_replaceable(F.col("kind")), "replaceable").otherwise("regular").alias("class")), f"WITH {NOTES_SQL} SELECT id, CASE kind WHEN 30023 THEN 'addressable' WHEN 0 THEN 'replaceable' ELSE 'regular' END AS class FROM notes")
 _add("tag_explode", lambda s, d: tag_rows(s, d).where(F.get("tag", F.lit(0)).isin("p", "r")).groupBy(F.get("tag", F.lit(0)).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.get("tag", F.lit(1))).alias("distinct_values")), f"WITH {TAGS_SQL} SELECT CASE WHEN m IN (0, 1) THEN 'p' ELSE 'r' END AS name, count(*) AS n, count(DISTINCT CASE m WHEN 0 THEN h WHEN 1 THEN 'short' WHEN 5 THEN 'wss://r' || k || '.example.com/' WHEN 6 THEN 'wss://r' || k || '.example.com' ELSE 'wss://no.example.com' END) AS distinct_values FROM rows_ WHERE m IN (0, 1, 5, 6, 7) GROUP BY 1")
 

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from heronlake.functions import scalars as S
@@ -115,3 +116,29 @@ def test_routing(spark):
     assert sorted((r["k"], r["v"], r["tier"]) for r in first_tier([a, b], "k").collect()) == [("x", 1, 0), ("y", 3, 1)]
     dealt = round_robin(spark.range(300).selectExpr("cast(id as string) pubkey"), ["a", "b", "c"])
     assert min(r["count"] for r in dealt.groupBy("url").count().collect()) > 70
+
+
+def test_url_in_one_form(spark):
+    from heronlake.functions.scalars import normalize_url
+
+    pairs = [("HTTPS://Host.Example:443/a//b///?b=2&a=1&a=0#x", None), ("https://Host.Example:443/a//b///?b=2&a=1&a=0#x", "wss://host.example/a/b?a=1&a=0&b=2"), ("ws://x:80", "ws://x/"), ("wss://x//", "wss://x/"), ("wss://x/?z=1&y=//", "wss://x/?y=//&z=1"), ("", ""), (None, None)]
+    got = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(pairs)], "i int, u string").select("i", normalize_url(F.col("u")).alias("n")).collect()
+    for r in got:
+        if r["i"]:
+            assert r["n"] == pairs[r["i"]][1], pairs[r["i"]]
+
+
+def test_pointers_round_trip_and_filter():
+    from heronlake.functions.scalars import decode_pointer, encode_pointer
+    from heronlake.operators.filters import pointer_filter
+
+    key, other = "ab" * 32, "cd" * 32
+    cases = {"note": key, "npub": key, "nevent": {"id": key, "relays": ["wss://r.example"], "author": other}, "nprofile": {"pubkey": key, "relays": []}, "naddr": {"identifier": "d:1", "pubkey": key, "kind": 30023, "relays": ["wss://r.example"]}}
+    for kind, value in cases.items():
+        assert decode_pointer(encode_pointer(kind, value)) == ({"id" if kind == "note" else "pubkey": value} if isinstance(value, str) else value)
+    assert pointer_filter(key)[0].ids == [key] and pointer_filter(encode_pointer("nevent", cases["nevent"]))[1:] == (["wss://r.example"], other)
+    f, relays, author = pointer_filter(encode_pointer("naddr", cases["naddr"]))
+    assert (f.authors, f.kinds, f.tags, f.limit, relays, author) == ([key], [30023], {"d": ["d:1"]}, 1, ["wss://r.example"], key)
+    for bad in (encode_pointer("npub", key), "nonsense", ""):
+        with pytest.raises(ValueError):
+            pointer_filter(bad)
