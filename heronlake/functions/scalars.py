@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -67,19 +67,29 @@ def without(array: Column, *others: Column) -> Column:
 
 def normalize_url(c: Column) -> Column:
     """A relay URL in one form: ws scheme, lower-case host, no fragment or default port, ``/`` on a bare host, single slashes, no trailing one on a path, parameters in order of their names."""
-    out = F.regexp_replace(F.trim(c), "#.*$", "")
-    out = F.regexp_replace(out, "^http", "ws")
-    head = F.regexp_extract(out, "^(wss?://[^/?]*)", 1)
-    out = F.when(head != "", F.concat(F.lower(head), F.substring(out, F.length(head) + 1, F.length(out)))).otherwise(out)
+    out = F.regexp_replace(F.regexp_replace(F.trim(c), "#.*$", ""), "^http", "ws")
+    return _let(_let(out, _plain_host), _plain_path)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: repeated in place, the expression would grow with every step."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _plain_host(url: Column) -> Column:
+    head = F.regexp_extract(url, "^(wss?://[^/?]*)", 1)
+    out = F.when(head != "", F.concat(F.lower(head), F.substring(url, F.length(head) + 1, F.length(url)))).otherwise(url)
     out = F.regexp_replace(out, "^(ws://[^/?]*):80(/|\\?|$)", "$1$2")
     out = F.regexp_replace(out, "^(wss://[^/?]*):443(/|\\?|$)", "$1$2")
-    out = F.regexp_replace(out, "^(wss?://[^/?]+)$", "$1/")
-    base, start = F.substring_index(out, "?", 1), F.instr(out, "?")
-    host = F.regexp_extract(base, "^(wss?://[^/]*)", 1)
-    path = F.regexp_replace(F.substring(base, F.length(host) + 1, F.length(base)), "/+", "/")
-    base = F.when(host == "", base).otherwise(F.concat(host, F.when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise(path)))
+    return F.regexp_replace(out, "^(wss?://[^/?]+)$", "$1/")
+
+
+def _plain_path(url: Column) -> Column:
+    start = F.instr(url, "?")
+    base = F.regexp_replace(F.substring_index(url, "?", 1), "(?<!:)/+", "/")
+    base = F.regexp_replace(base, "^(wss?://[^/]+/.*[^/])/$", "$1")
     # A stable sort by name alone.
-    named = F.transform(F.split(F.substring(out, start + 1, F.length(out)), "&"), lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("name"), i.alias("i"), p.alias("p")))
+    named = F.transform(F.split(F.substring(url, start + 1, F.length(url)), "&"), lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("name"), i.alias("i"), p.alias("p")))
     query = F.array_join(F.transform(F.array_sort(named), lambda x: x["p"]), "&")
     return F.when(start == 0, base).otherwise(F.concat(base, F.lit("?"), query))
 
