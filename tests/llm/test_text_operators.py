@@ -458,3 +458,56 @@ def test_a_million_words_are_labelled_quickly():
     began = time.perf_counter()
     langid.forward_backward(scores, np.array([0, len(scores)]), np.eye(4))
     assert time.perf_counter() - began < 10
+
+
+def test_licenses_against_all_windows():
+    """Every window of every text is compared with every template, by sets of words."""
+    rng = random.Random(31)
+    bands = licenses.Bands(licenses.TEMPLATES)
+    words_of = lambda t: [w.lower() for w in re.findall("[A-Za-z0-9\x80-\U0010ffff]+", t)]
+    grams = lambda w: [tuple(w[i : i + licenses.SIZE]) for i in range(len(w) - licenses.SIZE + 1)]
+    templates = [(name, grams(words_of(t))) for name, forms in licenses.TEMPLATES.items() for t in forms]
+    texts = []
+    for name, forms in licenses.TEMPLATES.items():
+        w = list(forms[-1].split())
+        for changes in (0, 1, len(w) // 12, len(w) // 4, len(w)):
+            v = list(w)
+            for _ in range(changes):
+                v[rng.randrange(len(v))] = f"x{rng.randrange(10**6)}"
+            pad = [f"p{rng.randrange(10**6)}" for _ in range(rng.randrange(40))]
+            texts.append(" ".join(pad + v + pad[:7]))
+    for text, spans in zip(texts, licenses.scan_column(bands, pa.array(texts)), strict=True):
+        own = grams(words_of(text))
+        best = {}
+        for name, wanted in templates:
+            m = len(wanted)
+            for at in range(0, len(own) if m else 0, licenses.stride_of(m)):
+                share = len(set(own[max(0, at - m // 4) : at + m + m // 4]) & set(wanted)) / len(set(wanted))
+                if share * 100 >= licenses.PERCENT:
+                    best[name] = max(best.get(name, 0), share)
+        found = {s["license"]: s["containment"] for s in spans}
+        # Of licences that overlap the most contained ones are given.
+        assert set(found) == {name for name, share in best.items() if share == max(best.values())} if best else not found, text
+        assert all(found[k] == pytest.approx(best[k]) for k in found)
+
+
+def test_fingerprints_against_a_slow_transform():
+    rng = np.random.default_rng(17)
+    for size in (64, 256, 320, 5000):
+        payload = rng.integers(0, 256, size, dtype=np.uint8)
+        n = max(1, math.ceil((size - audio.FRAME) / audio.HOP) + 1)
+        padded = np.full((n - 1) * audio.HOP + audio.FRAME, 128, dtype=np.uint8)
+        padded[:size] = payload
+        turns = np.exp(-2j * np.pi * np.outer(np.arange(audio.FRAME // 2 + 1), np.arange(audio.FRAME)) / audio.FRAME)
+        window = [0.5 - 0.5 * math.cos(2 * math.pi * i / (audio.FRAME - 1)) for i in range(audio.FRAME)]
+        power = [np.abs(turns @ [(float(x) - 128) * w for x, w in zip(padded[i * audio.HOP : i * audio.HOP + audio.FRAME], window, strict=True)]) for i in range(n)]
+        peaks = []
+        for i, row in enumerate(power):
+            for low, high in audio.BANDS:
+                top = max(range(low, high), key=lambda b: row[b])
+                beside = [max(power[j][low:high]) for j in (i - 1, i + 1) if 0 <= j < n]
+                if row[top] > 2 * row.mean() and all(row[top] >= x for x in beside):
+                    peaks.append((i, top))
+        peaks.sort()
+        pairs = sorted(a << 32 | f << 20 | g << 8 | (b - a) for k, (a, f) in enumerate(peaks) for b, g in peaks[k + 1 : k + 1 + audio.FAN_OUT] if b - a <= audio.MAX_GAP)
+        assert audio.fingerprint(payload.tobytes()).tolist() == pairs
