@@ -9,7 +9,7 @@ whole copies by rounding their running sum in each source.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -74,8 +74,11 @@ def solve(hist: DataFrame, targets: DataFrame, cap: float = 2.0, rounds: int = 6
         middle = F.when(F.col("low").isNull(), F.col("dual") - far).when(F.col("high").isNull(), F.col("dual") + far).otherwise((F.col("low") + F.col("high")) / 2)
         inside = newton.isNotNull() & (newton >= F.coalesce("low", F.col("dual") - far)) & (newton <= F.coalesce("high", F.col("dual") + far))
         done = F.abs("miss") <= F.lit(tolerance) * F.col("target")
-        state = written(step.withColumn("dual", F.when(done, F.col("dual")).when(inside, newton).otherwise(middle)).drop("slope"), "mix-duals")
-        if not state.where(F.abs("miss") > F.lit(tolerance) * F.col("target")).take(1):
+        seen = Observation()
+        moved = step.withColumn("dual", F.when(done, F.col("dual")).when(inside, newton).otherwise(middle)).drop("slope")
+        before, state = state, written(moved.observe(seen, F.max((F.abs("miss") > F.lit(tolerance) * F.col("target")).cast("int")).alias("open")), "mix-duals")
+        forget(before)
+        if not seen.get["open"]:
             break
     else:
         raise RuntimeError(f"some source misses its target after {rounds} Newton steps")
@@ -133,6 +136,7 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
     out = written(placed.withColumn("copies", copies.cast("long")), "mix-copies")
 
     # Trims: the document whose size is nearest to what a source still misses; one row for each source, and each round misses by less.
+    forget(own, rated, cells, classes)
     change = None
     for _ in range(trims):
         now = out if change is None else out.join(change, "_row", "left").withColumn("copies", F.col("copies") + F.coalesce("_add", F.lit(0))).drop("_add")

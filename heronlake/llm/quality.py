@@ -18,7 +18,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -263,10 +263,12 @@ def estimates(points: DataFrame, share: float = 0.75, steps: int = 20) -> DataFr
     now = written(_concentrate(_moments(scaled, both, first), share, 1 / inner), "mcd-params")
     ended = []
     for _ in range(steps):
-        now = written(_concentrate(_moments(scaled, now, _quadratic("u", STEPS)), share, 1 / inner), "mcd-params")
+        seen = Observation()
+        moved = _concentrate(_moments(scaled, now, _quadratic("u", STEPS)), share, 1 / inner)
+        now = written(moved.observe(seen, F.sum((~F.col("settled")).cast("int")).alias("open")), "mcd-params")
         ended.append(now.where("settled"))
         now = now.where("not settled")
-        if not now.take(1):
+        if not seen.get["open"]:
             break
     else:
         ended.append(now)
