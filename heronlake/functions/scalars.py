@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,16 +123,32 @@ def relays_per_user(users: Column) -> Column:
     return F.when(users < 100, 4).when(users < 800, 3).when(users < 1200, 2).otherwise(1)
 
 
+# Fixed values of BIP 173: the generator of its checksum.
+_GENERATOR = (0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)
+
+
 def _polymod(values: list[int]) -> int:
     check = 1
     for v in values:
         top = check >> 25
         check = (check & 0x1FFFFFF) << 5 ^ v
-        for i, g in enumerate((0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)):
+        for i, g in enumerate(_GENERATOR):
             check ^= g if top >> i & 1 else 0
     return check
 
 
+def _polymod_of(values: Column, start: int) -> Column:
+    """The checksum of a column of arrays of 5-bit numbers, after ``start``."""
+
+    def step(check: Column, v: Column) -> Column:
+        out = F.shiftleft(check.bitwiseAND(F.lit(0x1FFFFFF)), 5).bitwiseXOR(v)
+        for i, g in enumerate(_GENERATOR):
+            out = out.bitwiseXOR(F.shiftright(check, 25 + i).bitwiseAND(F.lit(1)) * F.lit(g))
+        return out
+
+    return F.aggregate(values, F.lit(start), step)
+
+
 def _regroup(values: Iterator[int], a: int, b: int, pad: bool) -> list[int]:
     held = bits = 0
     out = []
@@ -215,12 +230,16 @@ def encode_pointer(kind: str, value: str | Mapping) -> str:
 
 def npub(c: Column) -> Column:
     """The bech32 form of a hex public key; null where it is none."""
-
-    @F.pandas_udf("string")
-    def encode(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: None if k is None else bech32_encode("npub", bytes.fromhex(k)))
-
-    return F.when(is_hex32(c), encode(F.when(is_hex32(c), F.substring(c, 1, 64))))
+    prefix = "npub"
+    start = _polymod([ord(x) >> 5 for x in prefix] + [0] + [ord(x) & 31 for x in prefix])
+    # Five hex digits are four numbers of five bits; 64 digits and a zero are 52.
+    padded = F.rpad(F.substring(c, 1, 64), 65, "0")
+    number = lambda i: F.conv(F.substring(padded, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
+    fives = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i: _let(number(i), lambda n: F.transform(F.array(*[F.lit(k) for k in (15, 10, 5, 0)]), lambda k: F.call_function("shiftright", n, k).bitwiseAND(F.lit(31))))))
+    digits = lambda data, check: F.concat(data, F.transform(F.array(*[F.lit(25 - 5 * i) for i in range(6)]), lambda k: F.call_function("shiftright", check, k).bitwiseAND(F.lit(31))))
+    code = _let(fives, lambda data: _let(_polymod_of(F.concat(data, F.array(*[F.lit(0)] * 6)), start).bitwiseXOR(F.lit(1)), lambda check: digits(data, check)))
+    letters = F.transform(code, lambda v: F.substring(F.lit(_BECH32), v + 1, F.lit(1)))
+    return F.when(is_hex32(c), F.concat(F.lit(prefix + "1"), F.array_join(letters, "")))
 
 
 def short_npub(code: Column) -> Column:

@@ -1,14 +1,9 @@
-"""Readers and writers of raw event JSON, and a data source of recorded relays."""
+"""Readers and writers of raw event JSON, and of recorded relays."""
 
 from __future__ import annotations
 
-import json
-import os
-from collections.abc import Iterator, Mapping
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from heronlake.operators.schema import EVENT_COLUMNS, EVENT_SCHEMA
 
@@ -33,43 +28,8 @@ def serialize(events: DataFrame, out: str = "raw") -> DataFrame:
     return events.select("id", F.to_json(F.struct(*EVENT_COLUMNS)).alias(out))
 
 
-class RelayPartition(InputPartition):
-    def __init__(self, url: str, file: str):
-        self.url, self.file = url, file
-
-
-class RelayReader(DataSourceReader):
-    """Reads one recorded relay for each partition: JSON lines in ``folder/<name>.jsonl``."""
-
-    def __init__(self, options: Mapping[str, str]):
-        self.folder = options["folder"]
-        self.since = int(options.get("since", "0"))
-
-    def partitions(self) -> list[InputPartition]:
-        return [RelayPartition(name.removesuffix(".jsonl"), os.path.join(self.folder, name)) for name in sorted(os.listdir(self.folder)) if name.endswith(".jsonl")]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.file, encoding="utf-8") as lines:
-            for line in lines:
-                event = json.loads(line)
-                if event["created_at"] >= self.since:
-                    yield tuple([partition.url] if c == "seen_on" else event.get(c) for c in EVENT_COLUMNS)
-
-
-class RelaySource(DataSource):
-    """``spark.read.format("relays").option("folder", ...)``: events of all recorded relays, with the relay in ``seen_on``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "relays"
-
-    def schema(self):
-        return EVENT_SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return RelayReader(self.options)
-
-
-def register(spark: SparkSession) -> None:
-    """Make the format ``relays`` known to a session.  The folder must be reachable from every executor."""
-    spark.dataSource.register(RelaySource)
+def read_relays(spark: SparkSession, folder: str, since: int = 0) -> DataFrame:
+    """Events of recorded relays, JSON lines in ``folder/<name>.jsonl`` on any store that Spark reads, with the relay's name in ``seen_on``."""
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1)
+    events = spark.read.schema(EVENT_SCHEMA).option("pathGlobFilter", "*.jsonl").json(folder).where(F.col("id").isNotNull() & (F.col("created_at") >= since))
+    return events.withColumn("seen_on", F.array(F.url_decode(name))).select(*EVENT_COLUMNS)

@@ -92,14 +92,20 @@ def test_live_tail_equals_batch(spark, tmp_path):
 def test_sources(spark, tmp_path):
     line = {"id": "1" * 64, "pubkey": "2" * 64, "kind": 1, "created_at": 9, "sig": "", "tags": [["e", 'odd],"'], ["p"]], "content": "x"}
     (tmp_path / "relay.jsonl").write_text(json.dumps(line) + "\n" + json.dumps(line | {"created_at": 1}))
-    sources.register(spark)
-    got = spark.read.format("relays").option("folder", str(tmp_path)).option("since", "5").load().collect()
+    got = sources.read_relays(spark, str(tmp_path), since=5).collect()
     assert [(r["created_at"], r["seen_on"], r["tags"]) for r in got] == [(9, ["relay"], [["e", 'odd],"'], ["p"]])]
     assert sources.read_json(spark, str(tmp_path / "relay.jsonl")).count() == 2
     text = sources.serialize(sources.read_json(spark, str(tmp_path / "relay.jsonl"))).first()["raw"]
     assert json.loads(text)["tags"] == line["tags"] and "seen_on" not in json.loads(text)
 
 
+def test_npub_column(spark):
+    keys = ["ab" * 32, "0" * 64, "f" * 64, "0123456789abcdef" * 4, "xyz", "", None, "a" * 63]
+    got = spark.createDataFrame(list(enumerate(keys)), "i int, k string").select("i", S.npub(F.col("k")).alias("n")).collect()
+    for r in got:
+        assert r["n"] == (S.bech32_encode("npub", bytes.fromhex(keys[r["i"]])) if r["i"] < 4 else None)
+
+
 def test_profiles(spark):
     rows = [("1" * 64, "a" * 64, 0, 5, "", [], '{"name":"","display_name":"D"}', None), ("2" * 64, "b" * 64, 0, 5, "", [], "null", None), ("3" * 64, "c" * 64, 0, 5, "", [], '{"nip05":"x@y"}', None)]
     got = {r["pubkey"][0]: r["short_name"] for r in load_profiles(spark.createDataFrame(rows, EVENT_SCHEMA)).collect()}
