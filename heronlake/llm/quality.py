@@ -33,6 +33,8 @@ STEPS, FAR = 64, 100
 #: No direction's variance is below this, in squared MADs: a tenth of a MAD.
 FLOOR = 0.01
 BINS = 2048
+#: Parts of a group that are joined with its parameters apart.
+SALTS = 8
 #: Characters and words of typical prose that are added to each text, so that the shares of short texts scatter no more than those of others.
 PRIOR_CHARS, PRIOR_WORDS = 500.0, 100.0
 #: The distinct texts of its language's weight in a group's estimate.
@@ -196,15 +198,17 @@ def _scales(points: DataFrame) -> DataFrame:
 
 
 def _scaled(points: DataFrame, scales: DataFrame) -> DataFrame:
-    """(g, u0 ..): the vectors in STEPS whole numbers a MAD from the median, at most FAR MADs."""
+    """(g, salt, u0 ..): the vectors in STEPS whole numbers a MAD from the median, at most FAR MADs."""
     most = F.lit(STEPS * FAR)
     steps = [F.round((F.col(f"v{i}") / F.lit(float(UNIT)) - F.col("median")[i]) / F.col("mad")[i] * STEPS) for i in range(DIMS)]
-    return points.join(scales, "g").select("g", *[F.greatest(-most, F.least(most, x)).cast("long").alias(f"u{i}") for i, x in enumerate(steps)])
+    salt = F.pmod(F.xxhash64(*[f"v{i}" for i in range(DIMS)]), F.lit(SALTS)).cast("int").alias("salt")
+    return points.join(scales, "g").select("g", salt, *[F.greatest(-most, F.least(most, x)).cast("long").alias(f"u{i}") for i, x in enumerate(steps)])
 
 
 def _moments(points: DataFrame, params: DataFrame, distance: Column, most: float | None = None) -> DataFrame:
     """Counts, sums and products by group, start and binned distance (up to ``most``): partly summed before the shuffle."""
-    near = points.join(params, "g")
+    # Where Spark joins by a shuffle, a group with much of the rows is dealt to several tasks.
+    near = points.join(params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"])
     far = (near if most is None else near.where(distance <= most)).withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.log2(1 + 16 * distance) * 96)).cast("int"))
     sums = [F.sum(f"u{i}").alias(f"s{i}") for i in range(DIMS)]
     products = [F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"p{i}_{j}") for i in range(DIMS) for j in range(i, DIMS)]
