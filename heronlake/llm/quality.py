@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import by_bytes, passed, written
+from heronlake.llm.common import by_bytes, forget, passed, written
 from heronlake.llm.tokenhash import SPACE, buffer, mix, ngram_hashes, word_hashes, word_spans
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct", "n_short", "n_long")
@@ -285,7 +285,9 @@ def estimates(points: DataFrame, share: float = 0.75, steps: int = 20) -> DataFr
     # Back from MADs.
     center = F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda i: F.col("median")[i] + F.col("mad")[i] * F.col("center")[i])
     cov = F.transform(F.sequence(F.lit(0), F.lit(DIMS * DIMS - 1)), lambda i: F.col("cov")[i] * F.col("mad")[F.floor(i / DIMS).cast("int")] * F.col("mad")[i % DIMS])
-    return written(again.join(scales, "g").select("g", "n", center.alias("center"), cov.alias("cov")), "mcd-estimates")
+    out = written(again.join(scales, "g").select("g", "n", center.alias("center"), cov.alias("cov")), "mcd-estimates")
+    forget(points, scales, scaled, best)
+    return out
 
 
 def _chi2_below(x: float, d: int) -> float:
@@ -328,7 +330,9 @@ def fit(stats: DataFrame) -> DataFrame:
             precision = np.linalg.inv(cov.reshape(-1, DIMS, DIMS)).reshape(-1, DIMS * DIMS)
             yield pd.DataFrame({"g": rows["g"], "center": center.tolist(), "precision": precision.tolist()})
 
-    return written(groups.join(found, "g").mapInPandas(draw, "g string, center array<double>, precision array<double>"), "quality-model")
+    out = written(groups.join(found, "g").mapInPandas(draw, "g string, center array<double>, precision array<double>"), "quality-model")
+    forget(found)
+    return out
 
 
 _MADE = (*STATS, "base_failed", "distance", "kept")
