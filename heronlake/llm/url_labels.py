@@ -71,6 +71,36 @@ http://instant-cash-loan.example.net/approved?aff=5
 https://getrich-quick.example.com/secret/method
 http://crypto-doubler.example.org/invest/now
 https://www.work-from-home-cash.example.net/join
+http://casino-slots-club.example.org/bonus/spins
+https://www.pokerbonus-cash.example.com/win
+http://sportsbets-bonus.example.net/odds/free
+https://roulette-casinos.example.org/jackpot/claim
+http://online-slots-win.example.com/free-bonus
+https://bestbets-casino.example.net/promo
+http://cheap-pharmacy-pills.example.org/order/tablets
+https://www.onlinepills-shop.example.com/cheap
+http://slimming-pills-cheap.example.net/buy
+https://rx-tablets-online.example.org/discount
+http://xxx-cams-adult.example.com/live/girls
+https://www.adult-webcams.example.net/chat/xxx
+http://sexcams-dating.example.org/meet
+https://nude-singles-dating.example.com/adult
+http://adultvideos-tube.example.net/xxx/clips
+https://ads-tracker.example.org/click/pixel
+http://banner-ads-network.example.com/track
+https://clickads-popup.example.net/serve/banner
+http://tracking-ads.example.org/beacon/click
+https://www.linkspam-farm.example.com/backlinks
+http://seo-spam-links.example.net/buy/backlinks
+https://bulkspam-mail.example.org/offers/cheap
+http://keygen-cracks.example.com/warez/serial
+https://cracked-warez-download.example.net/keygen
+http://fast-cash-loans.example.org/apply/now
+https://payday-cash.example.com/loans/instant
+http://free-prize-winner.example.net/claim/cash
+https://cheap-replica-shop.example.org/watches
+http://bank-login-verify.example.com/account/secure
+https://lotto-jackpot-winner.example.net/claim
 """
 
 ALLOW = """

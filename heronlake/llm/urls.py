@@ -60,7 +60,7 @@ def _bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def train(labelled: DataFrame, size: int = BUCKETS, rounds: int = 12, rate: float = 80.0, limit: int = 5_000) -> list[float]:
+def train(labelled: DataFrame, size: int = BUCKETS, rounds: int = 12, rate: float = 40.0, limit: int = 5_000) -> list[float]:
     """Weights of a logistic regression, the bias last, by full-batch gradient steps with momentum.
 
     ``labelled`` is (url, label); rows with a null label are left out and at
